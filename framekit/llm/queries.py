@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
+from . import line_dedup as ld
+from . import mixing as mx
+from . import packing as pk
 from . import quality_rules as qr
+from . import simhash as sh
 from .common import table
 
 
@@ -15,6 +19,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sh.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mx.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "placed")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fp.edited(table(spark, sf_dir, "documents"))
     return out.select(
@@ -23,8 +37,21 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pk.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ld.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash": op2_simhash,
+    "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
+    "op7_packing": op7_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
