@@ -9,6 +9,7 @@ from . import fingerprints as fp
 from . import line_dedup as ld
 from . import mixing as mx
 from . import packing as pk
+from . import quality_classifier as qc
 from . import quality_rules as qr
 from . import simhash as sh
 from .common import table
@@ -41,6 +42,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ld.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,6 +57,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
