@@ -12,6 +12,7 @@ from . import packing as pk
 from . import quality_classifier as qc
 from . import quality_rules as qr
 from . import simhash as sh
+from . import suffix_dedup as sd
 from .common import table
 
 
@@ -51,6 +52,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
+    texts = sd.remove_repeats(docs).select("digest", F.length("bytes").cast("long").alias("n_bytes"), n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", sd.text_digest(F.col("text")).alias("digest")).join(texts, "digest").drop("digest")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -59,5 +67,6 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
