@@ -1 +1,10 @@
-"""Operators for building training corpora; nothing else in the library imports this package."""
+"""Operators for building training corpora; nothing else in the library imports this package.
+
+Functions that run on executors are sent by value, so that a cluster needs no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,8 +3,8 @@
 Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share 100% of all words by weight; a target
 stops at ``REPEATS`` times its source's size and the excess is shared again by weight. A source's documents are dealt
 by a seeded hash into blocks of about ``BLOCK`` words. A target is so many whole passes over the source and a rest,
-for which blocks are taken in a seeded permutation; the block in which the rest ends is taken document by document,
-to within half a document.
+for which blocks are taken in a seeded permutation; of the block in which the rest ends, documents are taken in seeded
+order, each that still fits what the ones before it have left, in ``FILLS`` turns.
 
 The taken blocks (a block of several passes counts for each) are split among output shards by a tree: a node's quotas,
 one per source, are divided between its halves by a multivariate hypergeometric draw, down to the shards. Shards then
@@ -24,9 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACE, cut, table  # noqa: F401
+from .common import SPACE, SPACE_CLASS, cut
 
-WEIGHTS, REPEATS, BLOCK, SEED, SHARDS = (5, 2, 1), 3, 100_000, 17, 16
+WEIGHTS, REPEATS, BLOCK, SEED, SHARDS, FILLS = (5, 2, 1), 3, 100_000, 17, 16, 5
 
 
 def word_count(text: Column) -> Column:
@@ -108,8 +108,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     blocks = blocks.withColumn("shard_of", F.when(F.col("items") > 0, F.transform(F.sequence(F.lit(0), F.col("items") - 1), lambda e: shard_of(F.col("first") + e))).otherwise(F.array().cast("array<int>")))
 
     joined = dealt.join(blocks.select("s", "block", "before", "whole", "part", "shard_of"), ["s", "block"])
-    inside = Window.partitionBy("s", "block").orderBy(_order(F.lit("document"), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    partial = joined.where("part").withColumn("upto", F.sum("size").over(inside)).withColumn("last", F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("rest")).drop("upto")
+    inside = Window.partitionBy("s", "block")
+    running = inside.orderBy(_order(F.lit("document"), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    partial = joined.where("part").withColumn("gap", F.col("rest") - F.col("before")).withColumn("last", F.lit(False))
+    for _ in range(FILLS):  # of what still fits, as much in a row as fits
+        partial = partial.withColumn("fits", ~F.col("last") & (F.col("size") <= F.col("gap")))
+        partial = partial.withColumn("last", F.col("last") | (F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(running) <= F.col("gap"))))
+        partial = partial.withColumn("gap", F.col("rest") - F.col("before") - F.sum(F.when(F.col("last"), F.col("size")).otherwise(0)).over(inside))
+    partial = partial.drop("gap", "fits")
     taken = joined.where("not part").withColumn("last", F.col("whole")).unionByName(partial)
     taken = taken.withColumn("epochs", F.when(F.col("target") > 0, F.col("passes") + F.col("last").cast("int")).otherwise(0))
     place = lambda shard, e: F.struct(shard.alias("shard"), _order(F.lit("place"), F.col("doc_id"), e).alias("place"))

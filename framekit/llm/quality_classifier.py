@@ -210,12 +210,11 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """The rows of ``docs``, all columns, with the score; a column of that name is replaced."""
     kept = [f for f in docs.schema.fields if f.name != name]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column(b.schema.get_field_index(text)))
-            found = np.concatenate([shared.value.score(c) for c in _chunks(texts)])
+            found = np.concatenate([model.score(c) for c in _chunks(texts)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, name])
 
     return docs.select([f.name for f in kept]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{name}` double")

@@ -7,7 +7,7 @@ Strings are first sorted into cells. The least hash among the grams of ``GRAM``
 string alone, so equal strings have equal least hashes; runs of starts with the same least hash form a cell, of some
 hundred starts. Only cells of the same hash can share a string:
 
-- a cell whose hash occurs once has no repeats;
+- a cell whose hash occurs in no other has no repeats, unless its least gram occurs in it twice;
 - cells equal as a whole are repeats as a whole, and one of them stands for all;
 - the different cells of a hash meet in a shard, with their bytes. A shard of ``SHARD_BYTES`` on average builds the suffix array of its cells
   by Larsson-Sadakane refinement and their common prefixes by Kasai's method; neighbours with a common prefix of LENGTH
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, shared_dir
 from .suffix import common_prefixes, eight_bytes, suffix_array
 
-LENGTH, GRAM, SHARD_BYTES, HOT, CHUNK, MERGE_ROWS = 400, 128, 2 << 20, 4096, 1 << 18, 200_000
+LENGTH, GRAM, SHARD_BYTES, HOT, MERGE_ROWS = 400, 128, 2 << 20, 4096, 200_000
+CHUNK, SEGMENT, PLACE_BITS = 1 << 18, 1 << 19, 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,32 +64,41 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
 
 
-def cells(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text with strings: its number, and its cells' first starts, numbers of starts, hashes and content hashes."""
-    kept = [i for i, t in enumerate(texts) if len(t) >= length]
-    for group in _chunks(kept, texts):
-        joined = b"".join(texts[i] for i in group)
-        data = np.frombuffer(joined, np.uint8)
-        least = window_minima(gram_hashes(data, gram), length - gram + 1)
+def cells(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text with strings: its number, and its cells' first starts, numbers of starts, hashes, content hashes, and
+    whether the least gram occurs in a cell more than once (else the cell can't repeat a string of its own).
+
+    Hashes keep their upper bits; the lower ``PLACE_BITS`` hold the gram's place, so that the leftmost of equals is least.
+    Texts longer than a segment are cut into segments that overlap by a string, and a cell ends with its segment.
+    """
+    width, low = length - gram + 1, np.uint64((1 << PLACE_BITS) - 1)
+    for group in _chunks(texts, length):
+        joined = b"".join(memoryview(texts[i])[a:z] for i, a, z in group)
+        h = gram_hashes(np.frombuffer(joined, np.uint8), gram)
+        least = window_minima(h & ~low | np.arange(len(h), dtype=np.uint64), width)
         at = 0
-        for i in group:
-            m = least[at : at + len(texts[i]) - length + 1]
-            first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+        for i, a, z in group:
+            m = least[at : at + z - a - length + 1]
+            key = m >> np.uint64(PLACE_BITS)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.concatenate([first, [len(m)]]))
-            view = memoryview(texts[i])
-            content = np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)), np.uint64, len(first))
-            yield i, first, n, m[first], content
-            at += len(texts[i])
+            view = memoryview(joined)[at:]
+            content = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + k + length - 1]) for s, k in zip(first.tolist(), n.tolist(), strict=True)), np.uint64, len(first))
+            yield i, first + a, n, key[first], content, m[first] != m[first + n - 1]
+            at += z - a
 
 
-def _chunks(numbers: list[int], texts: list[bytes]) -> Iterator[list[int]]:
+def _chunks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Groups of (text, from, to) of about CHUNK bytes."""
     now, size = [], 0
-    for i in numbers:
-        now.append(i)
-        size += len(texts[i])
-        if size >= CHUNK:
-            yield now
-            now, size = [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t) - length + 1, SEGMENT):
+            z = min(len(t), a + SEGMENT + length - 1)
+            now.append((i, a, z))
+            size += z - a
+            if size >= CHUNK:
+                yield now
+                now, size = [], 0
     if now:
         yield now
 
@@ -111,7 +121,7 @@ def text_digest(text: Column) -> Column:
 
 
 def _all_cells(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    names = ["digest", "copies", "at", "n", "hash", "content"]
+    names = ["digest", "copies", "at", "n", "hash", "content", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,22 +134,24 @@ def _all_cells(texts: DataFrame, length: int, gram: int) -> DataFrame:
             own = pa.array([digests[f[0]] for f in found], pa.binary()).take(pa.array(owner))
             weight = np.array([copies[f[0]] for f in found], np.int64)[owner]
             first, n, h, g = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3, 4))
-            yield pa.RecordBatch.from_arrays([own, pa.array(weight), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names)
+            again = np.concatenate([f[5] for f in found])
+            yield pa.RecordBatch.from_arrays([own, pa.array(weight), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(again)], names)
 
-    return texts.select("digest", "bytes", "copies").mapInArrow(run, "digest binary, copies long, at int, n int, hash long, content long")
+    return texts.select("digest", "bytes", "copies").mapInArrow(run, "digest binary, copies long, at int, n int, hash long, content long, own boolean")
 
 
 def _classified(all_cells: DataFrame) -> DataFrame:
     """The cells that may hold repeats: with ``weight``, how often the whole cell occurs, ``kinds``, how many different
-    cells have its hash, ``open``, whether one of these occurs once, and ``first``, whether it stands for its equals.
+    cells have its hash, ``look``, whether single strings have to be compared, and ``first``, whether it stands for its equals.
 
     Cells are dealt by hash once; sums and joins below keep that partitioning.
     """
     dealt = all_cells.repartition(partitions(all_cells), "hash")
-    kinds = dealt.groupBy("hash", "n", "content").agg(F.sum("copies").alias("weight"), F.min(F.struct("digest", "at")).alias("rep"))
-    groups = kinds.groupBy("hash").agg(F.count("*").alias("kinds"), (F.min("weight") == 1).alias("open"), F.sum("weight").alias("total")).where("total > 1").drop("total")
-    marked = kinds.join(groups, "hash").where("weight > 1 or kinds > 1")
-    return dealt.join(marked, ["hash", "n", "content"]).select("digest", "copies", "at", "n", "hash", "weight", "kinds", "open", (F.struct("digest", "at") == F.col("rep")).alias("first"))
+    kinds = dealt.groupBy("hash", "n", "content").agg(F.sum("copies").alias("weight"), F.min(F.struct("digest", "at")).alias("rep"), F.max("own").alias("own"))
+    groups = kinds.groupBy("hash").agg(F.count("*").alias("kinds"), (F.min("weight") == 1).alias("open"), F.sum("weight").alias("total"), F.max("own").alias("any")).where("total > 1 or any").drop("total", "any")
+    marked = kinds.join(groups, "hash").where("weight > 1 or kinds > 1 or own").withColumn("look", F.col("open") & ((F.col("kinds") > 1) | F.col("own")))
+    names = ["digest", "copies", "at", "n", "hash", "weight", "kinds", "look"]
+    return dealt.drop("own").join(marked, ["hash", "n", "content"]).select(*names, (F.struct("digest", "at") == F.col("rep")).alias("first"))
 
 
 def shard_repeats(spans: list[bytes], counts: np.ndarray, weights: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +226,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     whole = texts.where((F.col("copies") > 1) & (F.length("bytes") >= length)).select("digest", F.lit(0).alias("at"), (F.length("bytes") - (length - 1)).alias("n"))
     marked = cut(_classified(_all_cells(texts, length, gram)), "cells")
     by_cell = marked.where("weight > 1 and copies = 1").select("digest", "at", "n")
-    differing = marked.where("first and kinds > 1 and open")
+    differing = marked.where("first and look")
     size = differing.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
     salt = F.when(F.col("kinds") > hot, F.pmod(F.xxhash64("digest", "at"), F.ceil(F.col("kinds") / hot))).otherwise(0)
