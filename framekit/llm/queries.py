@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
+from . import html_text as ht
 from . import line_dedup as ld
 from . import mixing as mx
 from . import packing as pk
@@ -13,6 +14,7 @@ from . import quality_classifier as qc
 from . import quality_rules as qr
 from . import simhash as sh
 from . import suffix_dedup as sd
+from . import token_counts as tc
 from .common import table
 
 
@@ -26,6 +28,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ht.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def middle_edit(text: str) -> list[tuple[int, int, str]]:
+    """The edits of op4: 64 characters from a third on give way to the first 48, then the last 20 go, then the first word comes again in front."""
+    n = len(text)
+    return [(n // 3, min(64, n // 3), text[:48]), (max(0, n - min(64, n // 3) + min(48, n) - 20), 20, ""), (0, 0, (text.split() or [""])[0] + " ")]
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tc.counts(table(spark, sf_dir, "documents"), edits=middle_edit)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mx.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "placed")
@@ -62,6 +78,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
+    "op3_html_text": op3_html_text,
+    "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
