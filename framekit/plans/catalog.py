@@ -1,4 +1,8 @@
-"""Registered queries and the SQL they must equal."""
+"""All queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import aggregation, scalars, selection, tables, windows  # noqa: F401
+from .registry import COVERS, ORACLES, QUERIES
+
+__all__ = ["COVERS", "ORACLES", "QUERIES"]
