@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _LETTER = r"[\p{L}]"
 
@@ -38,7 +39,7 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(_characters(c), lambda x, i: F.when((i > 0) & F.coalesce(F.get(_characters(c), i - 1).rlike(_LETTER), F.lit(False)), F.lower(x)).otherwise(F.upper(x))), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 

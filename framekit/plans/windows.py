@@ -38,7 +38,7 @@ add("roll_count", "OP-125", lambda s, d: events(s, d)["v"].rolling(10, 4).count(
 add("roll_frame_count", "OP-140", lambda s, d: events(s, d)[["v", "w"]].rolling(10, 4).count().spark(), f"SELECT event_id, CASE WHEN {ROWS_SO_FAR} >= 4 THEN CAST(count(v) {OVER} AS DOUBLE) END AS v, CASE WHEN {ROWS_SO_FAR} >= 4 THEN CAST(count(w) {OVER} AS DOUBLE) END AS w FROM {E}")
 add("roll_quantile", "OP-133", lambda s, d: rounded(events(s, d)["v"].rolling(10, 4).quantile(0.25).spark(), 4), f"SELECT event_id, CASE WHEN count(v) {OVER} >= 4 THEN round(quantile_cont(v, 0.25) {OVER}, 4) END AS v FROM {E}")
 add("roll_frame_quantile", "OP-148", lambda s, d: rounded(events(s, d)[["v", "w"]].rolling(10, 4).quantile(0.9).spark(), 4), f"SELECT event_id, CASE WHEN count(v) {OVER} >= 4 THEN round(quantile_cont(v, 0.9) {OVER}, 4) END AS v, CASE WHEN count(w) {OVER} >= 4 THEN round(quantile_cont(w::DOUBLE, 0.9) {OVER}, 4) END AS w FROM {E}")
-add("roll_var_ddof0", "OP-128", lambda s, d: rounded(events(s, d)["v"].rolling(10, 4).var(ddof=0).spark(), 7), f"SELECT event_id, CASE WHEN count(v) {OVER} >= 4 THEN round(var_pop(v) {OVER}, 7) END AS v FROM {E}")
+add("roll_var_ddof0", "OP-128", lambda s, d: rounded(events(s, d)["v"].rolling(10, 4).var(ddof=0).spark(), 8), f"SELECT event_id, CASE WHEN count(v) {OVER} >= 4 THEN round(var_pop(v) {OVER}, 8) END AS v FROM {E}")
 PAIR = f"(SELECT event_id, user_id, CASE WHEN w IS NOT NULL THEN v END AS x, CASE WHEN v IS NOT NULL THEN w END AS y FROM {E})"
 add("roll_corr", "OP-134", lambda s, d: rounded(events(s, d)[["v", "w"]].rolling(10, 4)["v"].corr("w").spark(), 4), f"SELECT event_id, CASE WHEN count(x) {OVER} >= 4 AND min(x) {OVER} < max(x) {OVER} AND min(y) {OVER} < max(y) {OVER} THEN round(corr(x, y) {OVER}, 4) END AS v FROM {PAIR}")
 add("roll_cov", "OP-135 OP-136", lambda s, d: rounded(events(s, d)[["v", "w"]].rolling(10, 4)["v"].cov("w").spark(), 6), f"SELECT event_id, CASE WHEN count(x) {OVER} >= 4 THEN round(covar_samp(x, y) {OVER}, 6) END AS v FROM {PAIR}")
