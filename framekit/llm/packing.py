@@ -15,8 +15,11 @@ so equal splits of equal rows give equal packings.
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +29,56 @@ from pyspark.sql import functions as F
 
 from .common import tokenizer_path, utf8
 
-WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 400_000, 33
+WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 1_500_000, 33
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A comma or full stop at the end of a word; after a letter or digit it is a piece of its own.
+_STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \t\n\x0b\x0c\r])")
+
+
 def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Iterator[bytes]]:
-    """Texts to ids (little-endian, four bytes each) by a tokenizer that never joins what white space separates.
+    """Texts to ids (little-endian, four bytes each) by a tokenizer that lower-cases and never joins what white space separates.
 
-    Ids are looked up by word; words not seen yet are encoded together. The cache starts anew at ``cache`` words.
+    Ids are looked up by word, in a cache of this process that starts anew at ``cache`` words. Words not seen yet are
+    encoded together, with a NUL between them, whose id cuts the ids into words again. So that words meet more often, A-Z
+    become lower case (not in texts with combining marks or special tokens, where the order of steps could matter) and stops are split off.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer, known = Tokenizer.from_file(path), {}
+    # executor code is sent by value: what outlives a task is kept under a name in sys.modules
+    kept = sys.modules.setdefault("_framekit_worker", ModuleType("_framekit_worker"))
+    if path not in (made := kept.__dict__.setdefault("encoders", {})):
+        made[path] = (Tokenizer.from_file(path), {})
+    tokenizer, known = made[path]
+    nul = tokenizer.encode("\0", add_special_tokens=False).ids
+
+    def learn(words: list[bytes]) -> None:
+        plain = [w for w in words if b"\0" not in w and b"<|" not in w]
+        odd = words if len(nul) != 1 else [w for w in words if b"\0" in w or b"<|" in w]
+        for at in range(0, len(plain) if len(nul) == 1 else 0, 4096):
+            some = plain[at : at + 4096]
+            ids = np.array(tokenizer.encode_batch_fast([(b" \0 ".join(some) + b" \0").decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == nul[0])
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                known[w] = data[begin:end]
+                begin = end + 4
+        for w in odd:
+            known[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def words_of(t: bytes) -> list[bytes]:
+        if b"\xcc" not in t and b"\xcd" not in t and b"<|" not in t:
+            t = t.lower()
+        return _STOP.sub(rb" \1", t + b"\n").split()
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
-            split = [t.split() for t in texts[at : at + 256]]
+            split = [words_of(t) for t in texts[at : at + 256]]
             if len(known) > cache:
                 known.clear()
-            new = list(set().union(*split).difference(known))
-            for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            learn(list(set().union(*split).difference(known)))
             get = known.__getitem__
             for w in split:
                 yield b"".join(map(get, w))
