@@ -16,6 +16,7 @@ from . import simhash as sh
 from . import suffix_dedup as sd
 from . import token_counts as tc
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+
