@@ -75,7 +75,9 @@ def pairwise(a: Series, b: Series, kind: str, least: int, alias: str) -> DataFra
         sdf = a.frame.positioned().select(POS, x.alias("__a")).join(b.frame.positioned().select(POS, y.alias("__b")), POS)
         x, y = F.col("__a"), F.col("__b")
     n = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
-    found = F.covar_samp(x, y) if kind == "cov" else F.corr(x, y)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    scale = F.stddev_pop(x) * F.stddev_pop(y)  # corr() itself raises without spread
+    found = F.covar_samp(x, y) if kind == "cov" else F.covar_pop(x, y) / F.when(scale > 0, scale)
     return sdf.agg(F.when(n >= least, F.when(~F.isnan(found), found)).alias(alias))
 
 

@@ -164,7 +164,8 @@ class Rolling:
                 n = F.count(x).over(w)
                 if kind == "corr":
                     spread = (F.min(x).over(w) < F.max(x).over(w)) & (F.min(y).over(w) < F.max(y).over(w))
-                    return F.when((n >= max(self.least, 1)) & spread, F.corr(x, y).over(w))
+                    scale = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)  # corr() itself raises without spread
+                    return F.when((n >= max(self.least, 1)) & spread, F.covar_pop(x, y).over(w) / F.when(scale > 0, scale))
                 return F.when((n >= max(self.least, 1)) & (n > ddof), F.covar_pop(x, y).over(w) * n / F.when(n > ddof, n - ddof))
 
             return value

@@ -186,3 +186,9 @@ def test_streams_equal_batches(spark, tmp_path):
     live = streams.windowed(streams.read_stream(spark, str(tmp_path / "in"), f"{SF}/events.parquet"), "ts", "1 hour", by=["event_type"], n=F.count("*"))
     got = {tuple(r) for r in streams.drain(live, "live").collect()}
     assert got == {tuple(r) for r in streams.windowed(batch, "ts", "1 hour", by=["event_type"], n=F.count("*")).collect()}
+
+
+def test_correlation_without_spread(spark):
+    f = readers.from_dict(spark, {"a": [1.0, 1.0, 1.0, 2.0], "b": [1.0, 2.0, 3.0, 5.0]}, schema="a double, b double")
+    assert known(values(f.rolling(3, 2)["a"].corr("b")["a"]))[:3] == [None, None, None]
+    assert f["a"].corr(f["a"] * 0).first()[0] is None and f["a"].corr(f["a"]).first()[0] == pytest.approx(1)
