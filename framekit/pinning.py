@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` (or the warehouse, where that is unset) and read again."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in ``spark.checkpoint.dir``, or in the warehouse where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{where}/framekit-{uuid.uuid4().hex}"
+    return f"{where}/framekit-{uuid.uuid4().hex}"
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

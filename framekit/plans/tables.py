@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.joins import merge_asof
-from ..pinning import pin
+from ..pinning import pin, scratch
 from ..sources import readers
 from ..streaming import events as streams
 from .registry import add, load, rounded
@@ -48,10 +48,7 @@ add("io_parquet_columns", "OP-014 L27 L29", lambda s, d: readers.read_parquet(s,
 
 
 def written_csv(s, d, header=True):
-    from ..pinning import pin as _pin  # noqa: F401
-    import uuid
-
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/framekit-csv-{uuid.uuid4().hex}"
+    path = scratch(s)
     readers.to_csv(load(s, d, "supplier"), path, header)
     return path
 
@@ -83,9 +80,7 @@ add("io_glob", "OP-015", lambda s, d: readers.paths(s, f"{d}/region.parquet").se
 
 
 def raw(s, d):
-    import uuid
-
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/framekit-raw-{uuid.uuid4().hex}"
+    path = scratch(s)
     readers.to_file(s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice"), "p_retailprice", ["p_partkey"], path)
     return readers.from_parts(s, path).select(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.sort import ranked
-from .registry import EVENTS, add, events, load, rounded
+from .registry import EVENTS, add, events, rounded
 
 E = EVENTS
 OVER = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
@@ -88,4 +88,3 @@ def signal(s, d):
 
 
 add("flagship_signal", "L39", signal, "SELECT event_type, round(avg(change), 4) AS change, round(avg(mean), 4) AS mean FROM (SELECT *, lag(value < mean - spread * 0.5) " + U + " AS signal FROM (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean, stddev_samp(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 89 PRECEDING AND CURRENT ROW) AS spread, value / nullif(lag(value) " + U + ", 0) - 1 AS change FROM events)) WHERE signal GROUP BY event_type")
-_ = load
