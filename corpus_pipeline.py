@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates over five-word shingles the document with the smallest id stays."""
-    return simhash.deduplicate(docs, shingle=5)
+    """Of each group that ``op2_simhash`` would find in these documents the one with the smallest id stays."""
+    return simhash.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
