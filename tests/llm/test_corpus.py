@@ -31,6 +31,8 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
         ("<article><ul><li>1<li>2</ul><table><tr><td>3<td>4</table></article>", "1\n2\n3\n4"),
         ("<article><p>kept</p><div class='comments'><p>I say</p></div></article>", "kept"),
         ("<article></article>", ""),
+        ("<nav><ul><li>never closed<article><p>found</p></article>", "found"),
+        ("<article><p>kept</p></article><div id='comments'><article><p>not me</p></article></div>", "kept"),
         ("<article><p>broken <em>off", "broken off"),
     ],
 )
