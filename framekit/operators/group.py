@@ -39,11 +39,10 @@ class GroupBy:
         return self.frame.sdf.where(known)
 
     def _frame(self, sdf: DataFrame, names: list[str]) -> Frame:
+        """Sorted groups are a matter of the frame's order key: sinks that need rows in order sort, others save the shuffle."""
         from ..frame import Frame
 
-        if self.sort:
-            sdf = sdf.orderBy(*self.keys)
-        return Frame(sdf, names if self.as_index else [*self.keys, *names], index=self.keys if self.as_index else (), order=self.keys)
+        return Frame(sdf, names if self.as_index else [*self.keys, *names], index=self.keys if self.as_index else (), order=self.keys if self.sort else ())
 
     def agg(self, how: str | dict[str, str | Callable[[Column], Column]] | Callable[[Column], Column]) -> Frame:
         """By the name of a reduction or by a function from a column to an aggregate; a dictionary for columns of their own."""
