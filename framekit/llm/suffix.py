@@ -13,27 +13,29 @@ def suffix_array(keys: np.ndarray, step: int, limit: int) -> np.ndarray:
     method, only groups that aren't singletons are touched again.
     """
     n = len(keys)
-    sa = np.argsort(keys, kind="stable")
+    small = np.int32 if n < 1 << 31 else np.int64
+    sa = np.argsort(keys, kind="stable").astype(small)
     if not n:
         return sa
     ordered = keys[sa]
     heads = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    first = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[sa], rank[n] = first, -1
-    tied = np.flatnonzero(~(heads & np.concatenate([heads[1:], [True]])))
+    del ordered, keys
+    rank = np.empty(n + 1, small)
+    rank[sa], rank[n] = np.maximum.accumulate(np.where(heads, np.arange(n, dtype=small), 0)), -1
+    tied = np.flatnonzero(~(heads & np.concatenate([heads[1:], [True]]))).astype(small)
     depth = step
     while depth < limit and len(tied):
         at = sa[tied]
-        follow = rank[np.minimum(at + depth, n)] + 1
-        group = rank[at]
-        key = group << np.int64(32) | follow
+        key = rank[at].astype(np.int64) << np.int64(32)
+        key |= rank[np.minimum(at.astype(np.int64) + depth, n)] + np.int64(1)
         order = np.argsort(key, kind="stable")
-        sa[tied], key = at[order], key[order]
+        at, key = at[order], key[order]
+        del order
+        sa[tied] = at
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[sa[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
-        alone = new & np.concatenate([new[1:], [True]])
-        tied = tied[~alone]
+        del key
+        rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
+        tied = tied[~(new & np.concatenate([new[1:], [True]]))]
         depth *= 2
     return sa
 

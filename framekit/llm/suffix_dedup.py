@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, shared_dir
 from .suffix import common_prefixes, eight_bytes, suffix_array
 
-LENGTH, GRAM, SHARD_BYTES, HOT, MERGE_ROWS = 400, 128, 2 << 20, 4096, 200_000
+LENGTH, GRAM, SHARD_BYTES, HOT, MERGE_ROWS = 400, 128, 1 << 20, 4096, 200_000
 CHUNK, SEGMENT, PLACE_BITS = 1 << 18, 1 << 19, 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -144,9 +144,9 @@ def _classified(all_cells: DataFrame) -> DataFrame:
     """The cells that may hold repeats: with ``weight``, how often the whole cell occurs, ``kinds``, how many different
     cells have its hash, ``look``, whether single strings have to be compared, and ``first``, whether it stands for its equals.
 
-    Cells are dealt by hash once; sums and joins below keep that partitioning.
+    Cells are made and dealt by hash once, into a bucketed table; sums and joins below keep its partitioning.
     """
-    dealt = all_cells.repartition(partitions(all_cells), "hash")
+    dealt = _bucketed(all_cells.repartition(partitions(all_cells), "hash"), "hash")
     kinds = dealt.groupBy("hash", "n", "content").agg(F.sum("copies").alias("weight"), F.min(F.struct("digest", "at")).alias("rep"), F.max("own").alias("own"))
     groups = kinds.groupBy("hash").agg(F.count("*").alias("kinds"), (F.min("weight") == 1).alias("open"), F.sum("weight").alias("total"), F.max("own").alias("any")).where("total > 1 or any").drop("total", "any")
     marked = kinds.join(groups, "hash").where("weight > 1 or kinds > 1 or own").withColumn("look", F.col("open") & ((F.col("kinds") > 1) | F.col("own")))
