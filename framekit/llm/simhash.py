@@ -78,12 +78,15 @@ def _exact() -> int:
 
 
 def candidates(fps: DataFrame) -> DataFrame:
-    """The rows of ``fps`` (fp, rep) that the chains of the ring don't rule out."""
+    """The rows of ``fps`` (fp, rep) that the chains of the ring don't rule out.
+
+    Joins of exploded rows are sort-merge joins by hint: Spark takes their size for that of the rows before.
+    """
     n = _exact()
     start = lambda i: F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(_mask(_segments(i, n))).alias("key"))
     first = fps.select("fp", "rep", F.explode(F.array(*map(start, range(M)))).alias("x")).select("fp", "rep", "x.*")
     shared = first.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1").select("start", "key")
-    alive = first.join(shared, ["start", "key"], "left_semi").select("fp", "rep", "start")
+    alive = first.join(shared.hint("merge"), ["start", "key"], "left_semi").select("fp", "rep", "start")
 
     def chain(i: int) -> Column:
         free = _segments(i + n, 1)
@@ -95,7 +98,7 @@ def candidates(fps: DataFrame) -> DataFrame:
         by_start = by_start.when(F.col("start") == i, chain(i))
     second = alive.select("fp", "rep", "start", F.explode(by_start).alias("x")).select("fp", "rep", "start", "x.*")
     shared = second.groupBy("start", "free", "key").agg(F.count("*").alias("n")).where("n > 1").select("start", "free", "key")
-    return second.join(shared, ["start", "free", "key"], "left_semi").select("fp", "rep").distinct()
+    return second.join(shared.hint("merge"), ["start", "free", "key"], "left_semi").select("fp", "rep").distinct()
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def links(found: DataFrame) -> DataFrame:
     points = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     near = found.select("rep", F.explode(points).alias("point"))
     hubs = near.groupBy("point").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b")
-    return near.join(hubs, "point").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    return near.join(hubs.hint("merge"), "point").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
