@@ -50,7 +50,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, lanes: int = 2
     """lcp[i]: length, at most ``limit``, of the common prefix of the suffixes at sa[i - 1] and sa[i]; lcp[0] = 0.
 
     Kasai's observation: in text order, a suffix shares with its predecessor in the array at least one symbol less than
-    the suffix before it did. The text is cut into ``lanes`` stretches that follow it side by side, eight bytes at a time.
+    the suffix before it did. This needs ``sa`` in whole order: where suffixes tie at some depth, the predecessor may be any. The text is cut into ``lanes`` stretches that follow it side by side, eight bytes at a time.
     """
     n = len(data)
     lcp = np.zeros(n, np.int32)

@@ -165,7 +165,7 @@ def shard_repeats(spans: list[bytes], counts: np.ndarray, weights: np.ndarray, l
     span = np.repeat(np.arange(len(spans)), counts)
     offset = np.arange(len(span)) - np.repeat(np.cumsum(counts) - counts, counts)
     place = begin[span] + offset
-    sa = suffix_array(eight_bytes(data), 8, length)
+    sa = suffix_array(eight_bytes(data), 8, len(data))  # the whole order: common prefixes are carried from suffix to suffix
     classes = np.empty(len(data), np.int64)
     classes[sa] = np.cumsum(common_prefixes(data, sa, length) < length)
     own = classes[place]

@@ -182,6 +182,23 @@ def test_long_repeats(spark, limits):
     assert sd.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_repeats_of_more_than_512_bytes_in_a_shard(seed):
+    r = random.Random(seed)
+    rand = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    spans = []
+    for _ in range(12):  # copies go on in different ways, so that their order shows only beyond 512 bytes
+        passage = rand(r.randint(520, 660))
+        spans += [rand(r.randint(0, 30)) + passage + rand(r.randint(0, 300)) for _ in range(3)]
+    spans += [passage[:450] + rand(200) for _ in range(2)] + [rand(700) for _ in range(12)]
+    r.shuffle(spans)
+    n = collections.Counter(s[o : o + 400] for s in spans for o in range(len(s) - 399))
+    span, offset, repeated, own = sd.shard_repeats(spans, np.array([len(s) - 399 for s in spans]), np.ones(len(spans)))
+    strings = [spans[s][o : o + 400] for s, o in zip(span, offset, strict=True)]
+    assert [n[x] > 1 for x in strings] == repeated.tolist()
+    assert len(set(zip(strings, own.tolist(), strict=True))) == len(n) == len(set(own.tolist()))
+
+
 def test_cells_of_long_texts_in_segments(monkeypatch):
     r = random.Random(6)
     texts = [sentence(r, 3000).encode(), b"ab" * 3000]
