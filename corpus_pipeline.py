@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that ``op2_simhash`` would find in these documents the one with the smallest id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group linked as in ``op2_simhash`` or by a five-word similarity of 0.8 or more the one with the smallest id stays."""
+    return simhash.deduplicate_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, utf8
 from .components import components
+from .similar import similar
 
 SHINGLE, SEED, TAU, M = 3, 42, 2, 7
 #: First bit of each segment of the ring, and the end.
@@ -127,3 +128,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """The rows of ``docs``, all columns, whose document is the first of its group."""
     gone = near_duplicates(docs, doc_id, text, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+
+
+def deduplicate_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``deduplicate``, with links also between all documents with a five-word similarity of 0.8 or more.
+
+    No radius of fingerprints holds a similarity, so these links are found by ``similar``, exactly.
+    """
+    near = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    roots = components(cut(near.unionByName(similar(docs, doc_id, text)), "links"))
+    gone = roots.where("id <> root").select(F.col("id").alias("_gone"))
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

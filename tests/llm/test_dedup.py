@@ -8,11 +8,13 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from framekit.llm import line_dedup as ld
 from framekit.llm import simhash as sh
 from framekit.llm import suffix as sx
 from framekit.llm import suffix_dedup as sd
 from framekit.llm.components import components
+from framekit.llm.similar import similar
 from tests.llm.fixtures import SPACE, documents, frame, sentence
 
 
@@ -79,6 +81,33 @@ def test_one_of_each_group_stays(spark):
     assert sh.deduplicate(frame(spark, [])).count() == 0
 
 
+def test_all_documents_of_similarity_four_fifths_are_linked(spark):
+    r = random.Random(11)
+    rows, passage = documents(), sentence(r, 60)
+    for i in range(40):  # from one word to a third of the words replaced, in one run or all over
+        w = sentence(r, r.randint(5, 120)).split()
+        v, k = list(w), r.randint(1, max(1, len(w) // 3))
+        for at in range(0, k) if i % 2 else r.sample(range(len(w)), max(1, k // 5)):
+            v[at] = "new"
+        rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join(v))]
+    rows += [(1200 + i, f"{sentence(r, 25)} {passage}") for i in range(12)]
+    sets = collections.defaultdict(list)
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        if i is not None and w:
+            sets[i].append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    close = lambda a, b: any(5 * len(x & y) >= 4 * len(x | y) for x in sets[a] for y in sets[b])
+    want = {(a, b) for a in sets for b in sets if a < b and close(a, b)}
+    copies = {(a, b) for a, b in want if any(x == y for x in sets[a] for y in sets[b])}
+    for hot in (3, 1000):
+        got = {tuple(sorted(e)) for e in similar(frame(spark, rows), hot_docs=hot).collect()}
+        assert got <= want and len(want - copies) > 10
+        assert {r["id"]: r["root"] for r in components(spark.createDataFrame(list(got), "a long, b long")).collect()} == {r["id"]: r["root"] for r in components(spark.createDataFrame(list(want), "a long, b long")).collect()}
+    ids = {x["doc_id"] for x in corpus_pipeline.dedup_documents(spark, frame(spark, rows), "").collect()}
+    assert not ids & {b for _, b in want}
+    assert similar(frame(spark, [])).count() == 0
+
+
 def plain_lines(rows, least=10):
     key = lambda x: x.strip(SPACE).translate({i: i + 32 for i in range(65, 91)})
     n = collections.Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")})
