@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS, cut
+from .common import SPACE, SPACE_CLASS, cut, partitions
 
 WEIGHTS, REPEATS, BLOCK, SEED, SHARDS, FILLS = (5, 2, 1), 3, 100_000, 17, 16, 5
 
@@ -131,7 +131,14 @@ def _passes(size: int, target: float) -> tuple[int, float]:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    epochs = mix(docs, doc_id, text, source, **options).where("epochs > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("epochs").alias("__epochs"))
-    joined = docs.join(epochs, F.col(doc_id).eqNullSafe(F.col("__id")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__epochs"))).alias("__n")).drop("__n")
+    """The rows of ``docs``, all columns, each as often as the mix takes it, in the order of the mix.
+
+    Each copy goes to the shard that the tree has drawn for it and lies there by its place. Where there are more
+    partitions than shards, a shard is cut into equal ranges of places.
+    """
+    taken = mix(docs, doc_id, text, source, **options).where("epochs > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("placed", "epochs").alias("__placed"))
+    joined = docs.join(taken, F.col(doc_id).eqNullSafe(F.col("__id")))
+    copies = joined.select(*[docs[c] for c in docs.columns], F.explode("__placed").alias("__at"))
+    ranges = math.ceil(partitions(docs) / options.get("shards", SHARDS))
+    part = F.shiftright((F.shiftright(F.col("__at.place"), 32) + (1 << 31)) * ranges, 32)
+    return copies.repartition(partitions(docs), "__at.shard", part).sortWithinPartitions("__at.shard", "__at.place").drop("__at")

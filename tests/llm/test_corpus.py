@@ -108,6 +108,25 @@ def test_mix(spark, block):
     assert mx.mix(frame(spark, [])).count() == 0 and mx.mixed(frame(spark, [])).count() == 0
 
 
+def test_mixed_rows_lie_in_their_shards_by_place(spark):
+    docs = frame(spark, [(i, t) for i, t in documents() if i not in (None, 410)])
+    want = collections.defaultdict(list)
+    for r in mx.mix(docs).collect():
+        for p in r["placed"]:
+            want[p["shard"]].append((p["place"], r["doc_id"]))
+    out = mx.mixed(docs).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    runs = collections.defaultdict(list)
+    for r in out:
+        runs[r["part"]].append(r["doc_id"])
+    shards = {s: [i for _, i in sorted(v)] for s, v in want.items()}
+    assert sorted(i for v in runs.values() for i in v) == sorted(i for v in shards.values() for i in v) and len(shards) > 4
+    for v in runs.values():  # a partition is whole shards, one after the other
+        while v:
+            s = next(s for s in sorted(shards) if v[: len(shards[s])] == shards[s])
+            v = v[len(shards.pop(s)) :]
+    assert not shards
+
+
 def plain_sums(window):
     """The online rule by its definition."""
     count = collections.Counter()
