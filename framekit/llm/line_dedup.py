@@ -247,7 +247,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, f
         def by_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probe = Probe(*shared.value)
             for b in batches:
-                yield rows(b, lambda _, keys: [probe.hot(list(set().union(*keys)))] * len(keys))
+                # counts leave the empty key out, so the lists of wrong reports don't know it
+                yield rows(b, lambda _, keys: [probe.hot(list(set().union(*keys) - {b""}))] * len(keys))
 
         return docs.select([f.name for f in kept_columns]).mapInArrow(by_filter, schema)
 

@@ -129,6 +129,14 @@ def test_lines(spark, room, least):
     assert ld.dedup_lines(frame(spark, []), filter_bytes=room).count() == 0
 
 
+def test_empty_lines_stay_whatever_a_filter_reports(spark, monkeypatch):
+    made = ld.CuckooFilter.of(ld.digests([b""]))  # as if the only filter falsely reported the empty key
+    row = (0, bytearray(made.table.tobytes()), bytearray())
+    monkeypatch.setattr(ld, "build_filters", lambda counts, least: (counts.sparkSession.createDataFrame([row], "shard int, filter binary, wrong binary"), 0))
+    out = ld.dedup_lines(frame(spark, [(1, "a\n\nb"), (2, "\n \nc")]))
+    assert {r["doc_id"]: (r["text"], r["n_dropped"]) for r in out.collect()} == {1: ("a\n\nb", 0), 2: ("\n \nc", 0)}
+
+
 def test_counts_are_reversible(spark):
     rows = documents()
     docs, more = frame(spark, rows), frame(spark, rows[40:60])
