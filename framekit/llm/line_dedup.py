@@ -7,12 +7,14 @@ deleted again (``change``), and they are dealt to shards by the key's leading bi
 too (``refresh``), and a list of the shard's other known keys that the filter would wrongly report; with it the
 filter's answer is exact for every counted key.
 
-Filters of up to ``FILTER_BYTES`` go to every task; that is measured before they are sent. Beyond that, the lines of
-documents are joined with the hot keys instead. Both ways give the same rows.
+Filters stay where they are. Each row's different keys go to their shards' filters, a shard with many lines having several copies
+of its filter for ``PROBE_ROWS`` lines each, and the hot ones come back to their row. Rows and lists of hot keys
+meet by a 64-bit hash of id and text: should two rows share it, either list holds the other's hot keys too, which
+changes nothing, as a hot key is hot everywhere.
 
 Defined results: a null text counts as one empty line; empty keys are never hot; repeated rows count as documents of
 their own; null ids are kept; an empty table gives an empty table; other columns are kept, ``n_chars`` (if there) follows
-the text.
+the text; names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, cut, utf8
+from .common import SPACE_BYTES, cut, partitions, slices, utf8
 
-MIN_DOCS, SHARD_KEYS, FILTER_BYTES = 10, 1 << 16, 64 << 20
+MIN_DOCS, SHARD_KEYS, PROBE_ROWS = 10, 1 << 16, 20_000
 SLOTS, KICKS = 4, 500
 
 
@@ -107,7 +109,7 @@ def reference_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """high, low, n_docs: in how many rows of ``docs`` each key occurs. Summed in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             seen: Counter = Counter()
             for t in utf8(b.column(0)):
                 seen.update(set(keys_of(t)))
@@ -137,8 +139,9 @@ def _shard(bits: int):
 
 def build_filters(counts: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int]:
     """A row for each shard that has hot keys: shard, filter, wrong (the other keys that it reports, 16 bytes each);
-    and the number of leading bits that name a shard. Shards hold ``SHARD_KEYS`` keys on average."""
-    bits = max(0, int(np.ceil(np.log2(max(1, counts.count()) / SHARD_KEYS))))
+    and the number of leading bits that name a shard. Shards hold up to ``SHARD_KEYS`` keys on average, and are at least as many as a
+    shuffle has partitions."""
+    bits = int(np.ceil(np.log2(max(partitions(counts), counts.count() / SHARD_KEYS))))
 
     def run(t: pa.Table) -> pa.Table:
         h = np.stack([t["high"].to_numpy().view(np.uint64), t["low"].to_numpy().view(np.uint64)], axis=1)
@@ -179,31 +182,37 @@ def refresh(filters: DataFrame, bits: int, before: DataFrame, after: DataFrame,
     return filters.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(run, "shard int, filter binary, wrong binary")
 
 
-class Probe:
-    """All shards' filters as one table."""
-
-    def __init__(self, rows: list, bits: int):
-        self.bits, n = bits, 1 << bits
-        self.offset, self.mask = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        tables, at, self.wrong = [np.zeros((1, SLOTS), np.uint16)], 1, set()
-        for shard, data, wrong in rows:
-            t = np.frombuffer(data, np.uint16).reshape(-1, SLOTS)
-            self.offset[shard], self.mask[shard] = at, len(t) - 1
-            tables.append(t)
-            at += len(t)
-            self.wrong.update(wrong[i : i + 16] for i in range(0, len(wrong), 16))
-        self.table = np.concatenate(tables)
-
-    def hot(self, keys: list[bytes]) -> set[bytes]:
-        if not keys:
-            return set()
-        d = digests(keys)
-        shard = (d[:, 0] >> np.uint64(64 - self.bits)) if self.bits else np.zeros(len(d), np.uint64)
-        offset, mask, mark = self.offset[shard], self.mask[shard], CuckooFilter.mark(d[:, 1])
-        first = d[:, 0] & mask
-        other = first ^ (CuckooFilter.image(mark) & mask)
-        found = (self.table[offset + first] == mark[:, None]).any(axis=1) | (self.table[offset + other] == mark[:, None]).any(axis=1)
-        return {k for i in np.flatnonzero(found) if xxhash.xxh3_128_digest(k := keys[i]) not in self.wrong}
+def reported(filter_: bytes, wrong: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the shard's counted keys, as (n, 2) hashes, are hot."""
+    found = CuckooFilter(np.frombuffer(filter_, np.uint16).reshape(-1, SLOTS)).contains(hashes)
+    not_hot = {wrong[i : i + 16] for i in range(0, len(wrong), 16)}
+    for i in np.flatnonzero(found) if not_hot else ():
+        found[i] = hashes[i].astype(">u8").tobytes() not in not_hot
+    return found
+
+
+def hot_keys(rows: DataFrame, counts: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
+    """__row, __hot (array of keys, 16 bytes each) of each of ``rows`` (__row, text) that has hot keys, by probing the filters."""
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keys = [set(keys_of(t)) - {b""} for t in utf8(b.column(1))]
+            d = digests([k for ks in keys for k in ks]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])), pa.array(d[:, 0]), pa.array(d[:, 1])], ["__row", "high", "low"])
+
+    def probe(lines: pa.Table, own: pa.Table) -> pa.Table:
+        h = np.stack([lines["high"].to_numpy().view(np.uint64), lines["low"].to_numpy().view(np.uint64)], axis=1)
+        found = reported(own["filter"][0].as_py(), own["wrong"][0].as_py(), h) if own.num_rows else np.zeros(len(h), bool)
+        raw = h[found].astype(">u8").tobytes()
+        return pa.table({"__row": lines["__row"].filter(pa.array(found)).combine_chunks(), "key": pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())})
+
+    load = counts.groupBy(_shard(bits).alias("shard")).agg(F.ceil(F.sum("n_docs") / PROBE_ROWS).cast("int").alias("copies"))
+    held = cut(filters.join(load, "shard"), "held")
+    lines = rows.mapInArrow(occurrences, "__row long, high long, low long").withColumn("shard", _shard(bits))
+    lines = lines.join(held.select("shard", "copies"), "shard").withColumn("copy", F.pmod(F.xxhash64("__row"), F.col("copies")).cast("int")).drop("copies")
+    copied = held.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    found = lines.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(probe, "__row long, key binary")
+    return found.groupBy("__row").agg(F.collect_set("key").alias("__hot"))
 
 
 def _replaced(b: pa.RecordBatch, new: dict[str, pa.Array], names: list[str]) -> pa.RecordBatch:
@@ -211,67 +220,35 @@ def _replaced(b: pa.RecordBatch, new: dict[str, pa.Array], names: list[str]) ->
     return pa.RecordBatch.from_arrays([(old | new)[n] for n in names], names)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, lines: str = "n_lines", dropped: str = "n_dropped", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without their hot lines, with the number of lines before and of lines dropped.
 
-    ``lines`` and ``dropped`` name the added columns and replace columns of these names.
+    ``lines`` and ``dropped`` name the added columns and replace columns of these names. ``doc_id``, where there is such a
+    column, only spreads rows of equal texts.
     """
-    spark = docs.sparkSession
     counts = cut(reference_counts(docs, text), "counts")
-    made, bits = build_filters(counts, min_docs)
-    made = cut(made, "filters")
-    size = made.agg(F.sum(F.length("filter") + F.length("wrong"))).first()[0] or 0
+    filters, bits = build_filters(counts, min_docs)
     kept_columns = [f for f in docs.schema.fields if f.name not in (lines, dropped)]
     names = [f.name for f in kept_columns] + [lines, dropped]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns) + f", `{lines}` long, `{dropped}` long"
+    row = F.xxhash64(F.col(text), *[F.col(c) for c in docs.columns if c == doc_id])
+    hot = hot_keys(docs.select(row.alias("__row"), F.col(text).cast("string")), counts, filters, bits)
 
-    def rows(b: pa.RecordBatch, hot_of) -> pa.RecordBatch:
-        texts = utf8(b.column(b.schema.get_field_index(text)))
-        keys = [keys_of(t) for t in texts]
-        hot = hot_of(b, keys)
-        out, n, gone = [], [], []
-        for i, (t, ks) in enumerate(zip(texts, keys, strict=True)):
-            stay = [line for line, k in zip(t.split(b"\n"), ks, strict=True) if k not in hot[i]]
-            out.append(b"\n".join(stay))
-            n.append(len(ks))
-            gone.append(len(ks) - len(stay))
-        made = pa.array(out, pa.binary()).cast(pa.string())
-        new = {text: made, lines: pa.array(n, pa.int64()), dropped: pa.array(gone, pa.int64())}
-        if "n_chars" in names and text != "n_chars":
-            new["n_chars"] = pc.utf8_length(made).cast(b.schema.field("n_chars").type)
-        return _replaced(b, new, names)
-
-    if size <= filter_bytes:
-        shared = spark.sparkContext.broadcast(([tuple(r) for r in made.select("shard", "filter", "wrong").collect()], bits))
-
-        def by_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe = Probe(*shared.value)
-            for b in batches:
-                # counts leave the empty key out, so the lists of wrong reports don't know it
-                yield rows(b, lambda _, keys: [probe.hot(list(set().union(*keys) - {b""}))] * len(keys))
-
-        return docs.select([f.name for f in kept_columns]).mapInArrow(by_filter, schema)
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [list(set(keys_of(t))) for t in utf8(b.column(1))]
-            d = digests([k for ks in keys for k in ks]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])), pa.array(d[:, 0]), pa.array(d[:, 1])], ["row", "high", "low"])
-
-    numbered = cut(docs.select([f.name for f in kept_columns]).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    hot = counts.where(F.col("n_docs") >= min_docs).select("high", "low")
-    per_row = numbered.select("__row", F.col(text).cast("string")).mapInArrow(occurrences, "row long, high long, low long").join(hot, ["high", "low"], "left_semi").groupBy("row").agg(F.collect_list(F.concat(F.hex("high"), F.lit(" "), F.hex("low"))).alias("__hot"))
-
-    def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            listed = [set(x or ()) for x in b.column(b.schema.get_field_index("__hot")).to_pylist()]
-
-            def hot_of(_, keys, listed=listed):
-                found = []
-                for ks, own in zip(keys, listed, strict=True):
-                    found.append({k for k in set(ks) if k and "{:X} {:X}".format(*map(int, digests([k])[0])) in own} if own else set())
-                return found
-
-            yield rows(b, hot_of)
-
-    return numbered.join(per_row, numbered["__row"] == per_row["row"], "left").drop("__row", "row").mapInArrow(by_join, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out, n, gone = [], [], []
+            for t, hot in zip(utf8(b.column(b.schema.get_field_index(text))), b.column(b.schema.get_field_index("__hot")).to_pylist(), strict=True):
+                stay = all_lines = t.split(b"\n")
+                if hot:
+                    own = set(hot)
+                    stay = [line for line, k in zip(all_lines, keys_of(t), strict=True) if not k or xxhash.xxh3_128_digest(k) not in own]
+                out.append(t if stay is all_lines else b"\n".join(stay))
+                n.append(len(all_lines))
+                gone.append(len(all_lines) - len(stay))
+            made = pa.array(out, pa.binary()).cast(pa.string())
+            new = {text: made, lines: pa.array(n, pa.int64()), dropped: pa.array(gone, pa.int64())}
+            if "n_chars" in names and text != "n_chars":
+                new["n_chars"] = pc.utf8_length(made).cast(b.schema.field("n_chars").type)
+            yield _replaced(b, new, names)
+
+    return docs.select([f.name for f in kept_columns]).withColumn("__row", row).join(hot, "__row", "left").drop("__row").mapInArrow(run, schema)

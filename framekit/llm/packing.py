@@ -2,10 +2,13 @@
 
 Every partition packs its own documents in one pass. A document's ids, ended by an end id, first fill whole windows
 of their own; what is left, shorter than a window, is placed online: into the fill level that minimises the sum of the
-squared counts of partially filled windows, kept in a level array (ties: the fullest). Windows still open at the end,
-or when they hold more than ``HOLD`` ids, are dissolved: documents may be cut freely, so their pieces are laid end to
-end over whole windows, and the last rest over sequences whose lengths are powers of two, which aren't padded. Thus
-no padding is left, and nothing is shuffled.
+squared counts of partially filled windows, kept in a level array (ties: the fullest).
+
+Windows still open at the end, or when they hold more than ``HOLD`` ids, are closed: as many of the fullest as their ids
+can fill stay as they were placed, and the pieces of the others, which may be cut freely, fill their gaps. The last
+rest goes over sequences whose lengths are powers of two, which aren't padded. Thus no padding is left, and nothing is
+shuffled. ``moved`` marks the pieces that left their place in this way; the number of windows open at the end hardly
+depends on the partition's size, so that larger partitions have fewer.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty partition gives
 none; null ids are kept; columns beyond id and text are ignored. A sequence's number is its partition's plus a count,
@@ -27,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path, utf8
+from .common import slices, tokenizer_path, utf8
 
-WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 1_500_000, 33
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 16 << 20, 33
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 
 
+#: Bytes that a cached word takes besides its own and its ids'.
+OBJECTS = 170
 #: A comma or full stop at the end of a word; after a letter or digit it is a piece of its own.
 _STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \t\n\x0b\x0c\r])")
 
@@ -40,8 +45,8 @@ _STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \t\n\x0b\x0c\r])")
 def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Iterator[bytes]]:
     """Texts to ids (little-endian, four bytes each) by a tokenizer that lower-cases and never joins what white space separates.
 
-    Ids are looked up by word, in a cache of this process that starts anew at ``cache`` words. Words not seen yet are
-    encoded together, with a NUL between them, whose id cuts the ids into words again. So that words meet more often, A-Z
+    Ids are looked up by word, in two caches of this process of up to ``cache`` bytes: when the younger is full it becomes the
+    older, from which words come back as they are met again. Words in neither are encoded together, with a NUL between them, whose id cuts the ids into words again. So that words meet more often, A-Z
     become lower case (not in texts with combining marks or special tokens, where the order of steps could matter) and stops are split off.
     """
     from tokenizers import Tokenizer
@@ -50,11 +55,12 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
     # executor code is sent by value: what outlives a task is kept under a name in sys.modules
     kept = sys.modules.setdefault("_framekit_worker", ModuleType("_framekit_worker"))
     if path not in (made := kept.__dict__.setdefault("encoders", {})):
-        made[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = made[path]
+        made[path] = (Tokenizer.from_file(path), [{}, {}, 0])
+    tokenizer, caches = made[path]
     nul = tokenizer.encode("\0", add_special_tokens=False).ids
 
-    def learn(words: list[bytes]) -> None:
+    def learn(words: list[bytes]) -> dict[bytes, bytes]:
+        known = {}
         plain = [w for w in words if b"\0" not in w and b"<|" not in w]
         odd = words if len(nul) != 1 else [w for w in words if b"\0" in w or b"<|" in w]
         for at in range(0, len(plain) if len(nul) == 1 else 0, 4096):
@@ -67,6 +73,17 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
                 begin = end + 4
         for w in odd:
             known[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return known
+
+    def known_of(words: set[bytes]) -> dict[bytes, bytes]:
+        young, old, size = caches
+        missing = words.difference(young)
+        fresh = {w: old[w] for w in missing.intersection(old)}
+        fresh |= learn(list(missing.difference(fresh)))
+        young |= fresh
+        size += sum(OBJECTS + len(w) + len(ids) for w, ids in fresh.items())
+        caches[:] = ({}, young, 0) if size > cache else (young, old, size)
+        return young
 
     def words_of(t: bytes) -> list[bytes]:
         if b"\xcc" not in t and b"\xcd" not in t and b"<|" not in t:
@@ -76,10 +93,7 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
     def encode(texts: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             split = [words_of(t) for t in texts[at : at + 256]]
-            if len(known) > cache:
-                known.clear()
-            learn(list(set().union(*split).difference(known)))
-            get = known.__getitem__
+            get = known_of(set().union(*split)).__getitem__
             for w in split:
                 yield b"".join(map(get, w))
 
@@ -123,38 +137,46 @@ class Levels:
         self.held += level + size
         return None
 
-    def dissolve(self) -> Iterator[list[tuple]]:
-        """All open windows' pieces as whole windows and powers of two. A piece: (ids, length, document, start)."""
-        pieces = [p for level in sorted(self.open) for w in self.open[level] for p in w]
-        left = sum(p[1] for p in pieces)
-        room, now = 0, []
-        for ids, size, doc, start in pieces:
-            at = 0
-            while at < size:
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    now = []
-                n = min(room, size - at)
-                now.append((ids[4 * at : 4 * (at + n)], n, doc, start + at))
-                at, room, left = at + n, room - n, left - n
-                if not room:
-                    yield now
+    def close(self) -> Iterator[list[tuple]]:
+        """All open windows' pieces as whole windows and powers of two. A piece: (ids, length, document, start, moved)."""
+        windows = [(level, w) for level in sorted(self.open, reverse=True) for w in self.open[level]]
+        left = sum(level for level, _ in windows)
+        stay = left // self.window
+        loose = [p for _, w in windows[stay:] for p in w]
+        loose.reverse()
+
+        def take(room: int) -> Iterator[tuple]:
+            while room:
+                ids, size, doc, start, _ = loose.pop()
+                if size > room:
+                    loose.append((ids[4 * room :], size - room, doc, start + room, True))
+                    ids, size = ids[: 4 * room], room
+                yield ids, size, doc, start, True
+                room -= size
+
+        for level, pieces in windows[:stay]:
+            yield [*pieces, *take(self.window - level)]
+        left -= stay * self.window
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            yield list(take(size))
+            left -= size
         self.count[:], self.open, self.held = 0, {}, 0
 
 
 def pack(documents: Iterator[tuple], window: int = WINDOW, hold: int = HOLD) -> Iterator[list[tuple]]:
-    """Sequences, each a list of pieces (ids, length, document, start), of (document, ids)."""
+    """Sequences, each a list of pieces (ids, length, document, start, moved), of (document, ids)."""
     levels = Levels(window)
     for doc, ids in documents:
         n = len(ids) // 4
         for at in range(0, n - n % window, window):
-            yield [(ids[4 * at : 4 * (at + window)], window, doc, at)]
+            yield [(ids[4 * at : 4 * (at + window)], window, doc, at, False)]
         if rest := n % window:
-            if full := levels.add((ids[4 * (n - rest) :], rest, doc, n - rest)):
+            if full := levels.add((ids[4 * (n - rest) :], rest, doc, n - rest, False)):
                 yield full
             if levels.held > hold:
-                yield from levels.dissolve()
-    yield from levels.dissolve()
+                yield from levels.close()
+    yield from levels.close()
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", folder: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -166,7 +188,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         first = TaskContext.get().partitionId() << SHIFT
 
         def documents() -> Iterator[tuple]:
-            for b in batches:
+            for b in slices(batches):
                 names = b.column(0).cast(pa.int64()).to_pylist()
                 for name, ids in zip(names, encode(utf8(b.column(1))), strict=True):
                     ids += last
@@ -175,8 +197,8 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         out: list[tuple] = []
         for i, pieces in enumerate(pack(documents(), window)):
             offset = 0
-            for ids, size, (name, total), start in pieces:
-                out.append((name, start, size, zlib.crc32(ids), total, first + i, offset))
+            for ids, size, (name, total), start, moved in pieces:
+                out.append((name, start, size, zlib.crc32(ids), total, first + i, offset, moved))
                 offset += size
             if len(out) >= 20_000:
                 yield batch(out)
@@ -184,7 +206,8 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         yield batch(out)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in SCHEMA.split(", ")])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        kinds = [pa.int64()] * 7 + [pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -158,7 +159,7 @@ def test_levels_follow_the_definition():
         size = r.randint(1, 15)
         got = levels.place(size)
         assert got == place(size)
-        levels.add((b"\0" * 4 * size, size, 0, 0))
+        levels.add((b"\0" * 4 * size, size, 0, 0, False))
 
 
 @pytest.mark.parametrize("hold", [1 << 23, 40])
@@ -170,13 +171,33 @@ def test_packing_loses_nothing(hold):
         n = sum(p[1] for p in seq)
         assert 0 < n <= 16 and all(len(p[0]) == 4 * p[1] for p in seq)
         padding += 16 - n if n & (n - 1) else 0
-        for ids, size, doc, start in seq:
+        for ids, size, doc, start, _ in seq:
             pieces[doc].append((start, size, ids))
     assert padding == 0
     for i, ids in docs:
         assert b"".join(p[2] for p in sorted(pieces[i])) == ids
 
 
+def test_placement_decides_most():
+    r = random.Random(4)
+    for n, least in ((4_000, 0.6), (40_000, 0.9)):
+        docs = [(i, b"\0" * 4 * min(20_000, int(r.lognormvariate(5.5, 1)) + 1)) for i in range(n)]
+        pieces = [p for seq in pk.pack(iter(docs)) for p in seq]
+        total = sum(len(ids) // 4 for _, ids in docs)
+        assert sum(p[1] for p in pieces) == total and sum(p[1] for p in pieces if not p[4]) >= least * total
+
+
+def test_word_cache_of_two_generations():
+    path = tokenizer_path("word_bpe_49k.json")
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(3000)}x{r.choice('abc')}" for _ in range(50)).encode() for _ in range(900)]
+    want = list(pk.word_encoder(path)(texts))
+    kept = sys.modules["_framekit_worker"].encoders[path][1]
+    kept[:] = [{}, {}, 0]
+    assert list(pk.word_encoder(path, cache=50_000)(texts)) == want
+    assert kept[2] <= 50_000 and kept[1]
+
+
 def test_packed_documents(spark):
     from tokenizers import Tokenizer
 

@@ -119,22 +119,25 @@ def plain_lines(rows, least=10):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("room", [ld.FILTER_BYTES, 0])
-@pytest.mark.parametrize("least", [2, 10])
-def test_lines(spark, room, least):
+@pytest.mark.parametrize("rows, least", [(20_000, 10), (20_000, 2), (3, 10)])
+def test_lines(spark, monkeypatch, rows, least):
+    monkeypatch.setattr(ld, "PROBE_ROWS", rows)
     docs = frame(spark)
-    out = ld.dedup_lines(docs, min_docs=least, filter_bytes=room, dropped="gone")
+    out = ld.dedup_lines(docs, min_docs=least, dropped="gone")
     assert collections.Counter(map(tuple, out.select("doc_id", "text", "n_lines", "gone").collect())) == plain_lines(documents(), least)
     assert {(r["n_chars"], r["source"]) for r in out.collect()} <= {(len(t), s) for (_, t, _, _) in plain_lines(documents(), least) for s in (None, "a", "b", "é")}
-    assert ld.dedup_lines(frame(spark, []), filter_bytes=room).count() == 0
+    assert ld.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_empty_lines_stay_whatever_a_filter_reports(spark, monkeypatch):
-    made = ld.CuckooFilter.of(ld.digests([b""]))  # as if the only filter falsely reported the empty key
-    row = (0, bytearray(made.table.tobytes()), bytearray())
-    monkeypatch.setattr(ld, "build_filters", lambda counts, least: (counts.sparkSession.createDataFrame([row], "shard int, filter binary, wrong binary"), 0))
-    out = ld.dedup_lines(frame(spark, [(1, "a\n\nb"), (2, "\n \nc")]))
-    assert {r["doc_id"]: (r["text"], r["n_dropped"]) for r in out.collect()} == {1: ("a\n\nb", 0), 2: ("\n \nc", 0)}
+def test_lines_of_rows_whose_hash_is_shared(spark):
+    rows = documents() + [(500, "x\ny")] * 40  # repeated rows have one hash of id and text
+    out = ld.dedup_lines(frame(spark, rows))
+    assert collections.Counter(map(tuple, out.select("doc_id", "text", "n_lines", "n_dropped").collect())) == plain_lines(rows)
+
+
+def test_empty_lines_stay(spark):
+    out = ld.dedup_lines(frame(spark, [(i, f"a\n\n \n{i}") for i in range(12)] + [(20, None), (21, "")]))
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()} == {i: (f"\n \n{i}", 4, 1) for i in range(12)} | {20: ("", 1, 0), 21: ("", 1, 0)}
 
 
 def test_counts_are_reversible(spark):
@@ -155,12 +158,12 @@ def test_filters_follow_changes(spark):
     after = ld.change(before, inserted=frame(spark, rows[45:50]), deleted=frame(spark, rows[46:56]))
     fresh = ld.refresh(filters, bits, before, after, 3)
     hot = {(r["high"], r["low"]): r["n_docs"] >= 3 for r in after.collect()}
-    probe = ld.Probe([tuple(r) for r in fresh.select("shard", "filter", "wrong").collect()], bits)
-    keys = sorted({k for _, t in rows for k in ld.keys_of((t or "").encode()) if k})
-    found = probe.hot(keys)
-    for k in keys:
-        high, low = (int(x) for x in ld.digests([k]).view(np.int64)[0])
-        assert (k in found) == hot.get((high, low), False)
+    shards = {r["shard"]: (r["filter"], r["wrong"]) for r in fresh.collect()}
+    for k in sorted({k for _, t in rows for k in ld.keys_of((t or "").encode()) if k}):
+        d = ld.digests([k])
+        high, low = (int(x) for x in d.view(np.int64)[0])
+        own = shards.get(int(d[0, 0]) >> (64 - bits))
+        assert bool(own and ld.reported(*map(bytes, own), d)[0]) == hot.get((high, low), False)
 
 
 def test_cuckoo_filter():
