@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
 MAX_TRAIN, FOLDS, SEED, STEPS, CHUNK = 4000, 5, 11, 250, 1 << 20
 
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     kept = [f for f in docs.schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = utf8(b.column(b.schema.get_field_index(text)))
             found = np.concatenate([model.score(c) for c in _chunks(texts)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, name])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, slices, utf8
 
 SHINGLE, HOT, MOST_HOT, SEED = 5, 16, 100_000, 42
 
@@ -50,7 +50,7 @@ def _map(docs: DataFrame, fields: str, row) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *[(n, {"int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[k]) for n, k in (f.split() for f in fields.split(", "))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [row(shingles(t)) for t in utf8(b.column(1))]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.names[1:]]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, schema.types[1:], strict=True)]], schema.names)

@@ -13,8 +13,10 @@ hundred starts. Only cells of the same hash can share a string:
   by Larsson-Sadakane refinement and their common prefixes by Kasai's method; neighbours with a common prefix of LENGTH
   are repeats.
 
-A hash with more than ``HOT`` different cells is dealt over several shards. These write the digests of their strings as sorted runs, the runs
-are dealt by digest, and each string is looked up in the other shards' runs by binary search.
+A hash's cells are dealt over so many shards that each has ``SPLIT`` of them at most. Where that is more than one, shards write
+the digests of their different strings as sorted runs, the runs are dealt by ranges of digests, and each string is looked up in the other
+shards' runs by binary search. Texts and strings are known by SHA-256 and BLAKE2b, cells within a hash by 128 bits of the latter: texts from the web can be
+made to collide in weaker ones.
 
 Defined results: null texts are empty; repeated rows are copies; texts shorter than LENGTH keep all bytes; kept bytes
 may end inside a character and so are binary; an empty table gives an empty table; other columns are ignored.
@@ -23,19 +25,18 @@ may end inside a character and so are binary; an empty table gives an empty tabl
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, shared_dir
+from .common import bucketed, cut, partitions, slices
 from .suffix import common_prefixes, eight_bytes, suffix_array
 
-LENGTH, GRAM, SHARD_BYTES, HOT, MERGE_ROWS = 400, 128, 1 << 20, 4096, 200_000
+LENGTH, GRAM, SHARD_BYTES, SPLIT, MERGE_ROWS = 400, 128, 1 << 20, 64, 200_000
 CHUNK, SEGMENT, PLACE_BITS = 1 << 18, 1 << 19, 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -64,7 +65,7 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
 
 
-def cells(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def cells(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
     """For each text with strings: its number, and its cells' first starts, numbers of starts, hashes, content hashes, and
     whether the least gram occurs in a cell more than once (else the cell can't repeat a string of its own).
 
@@ -83,7 +84,7 @@ def cells(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterato
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.concatenate([first, [len(m)]]))
             view = memoryview(joined)[at:]
-            content = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + k + length - 1]) for s, k in zip(first.tolist(), n.tolist(), strict=True)), np.uint64, len(first))
+            content = [blake2b(view[s : s + k + length - 1], digest_size=16).digest() for s, k in zip(first.tolist(), n.tolist(), strict=True)]
             yield i, first + a, n, key[first], content, m[first] != m[first + n - 1]
             at += z - a
 
@@ -103,13 +104,6 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, in
         yield now
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key``: joins on it don't move it again."""
-    spark, name = df.sparkSession, f"framekit_{uuid.uuid4().hex}"
-    df.write.bucketBy(partitions(df), key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """digest, bytes, copies."""
     t = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).select(text_digest(F.col("t")).alias("digest"), "t")
@@ -117,14 +111,14 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def text_digest(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
 def _all_cells(texts: DataFrame, length: int, gram: int) -> DataFrame:
     names = ["digest", "copies", "at", "n", "hash", "content", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             digests, data, copies = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             found = list(cells(data, length, gram))
             if not found:
@@ -133,11 +127,11 @@ def _all_cells(texts: DataFrame, length: int, gram: int) -> DataFrame:
             owner = np.repeat(np.arange(len(found)), sizes)
             own = pa.array([digests[f[0]] for f in found], pa.binary()).take(pa.array(owner))
             weight = np.array([copies[f[0]] for f in found], np.int64)[owner]
-            first, n, h, g = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3, 4))
+            first, n, h = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
             again = np.concatenate([f[5] for f in found])
-            yield pa.RecordBatch.from_arrays([own, pa.array(weight), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(again)], names)
+            yield pa.RecordBatch.from_arrays([own, pa.array(weight), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array([c for f in found for c in f[4]], pa.binary()), pa.array(again)], names)
 
-    return texts.select("digest", "bytes", "copies").mapInArrow(run, "digest binary, copies long, at int, n int, hash long, content long, own boolean")
+    return texts.select("digest", "bytes", "copies").mapInArrow(run, "digest binary, copies long, at int, n int, hash long, content binary, own boolean")
 
 
 def _classified(all_cells: DataFrame) -> DataFrame:
@@ -146,7 +140,7 @@ def _classified(all_cells: DataFrame) -> DataFrame:
 
     Cells are made and dealt by hash once, into a bucketed table; sums and joins below keep its partitioning.
     """
-    dealt = _bucketed(all_cells.repartition(partitions(all_cells), "hash"), "hash")
+    dealt = bucketed(all_cells.repartition(partitions(all_cells), "hash"), "hash")
     kinds = dealt.groupBy("hash", "n", "content").agg(F.sum("copies").alias("weight"), F.min(F.struct("digest", "at")).alias("rep"), F.max("own").alias("own"))
     groups = kinds.groupBy("hash").agg(F.count("*").alias("kinds"), (F.min("weight") == 1).alias("open"), F.sum("weight").alias("total"), F.max("own").alias("any")).where("total > 1 or any").drop("total", "any")
     marked = kinds.join(groups, "hash").where("weight > 1 or kinds > 1 or own").withColumn("look", F.col("open") & ((F.col("kinds") > 1) | F.col("own")))
@@ -174,54 +168,49 @@ def shard_repeats(spans: list[bytes], counts: np.ndarray, weights: np.ndarray, l
 
 
 def _shard_task(length: int):
-    schema = "digest binary, at int, n int, high long, low long, shard long"
+    schema = "digest binary, at int, n int, string binary, shard long"
 
     def run(t: pa.Table) -> pa.Table:
         spans = t["span"].to_pylist()
         digest, at, counts, weights = t["digest"], t["at"].to_numpy(), t["n"].to_numpy(), t["weight"].to_numpy()
-        hot = np.asarray(t["hot"])
+        split = np.asarray(t["split"])
         span, offset, repeated, own = shard_repeats(spans, counts, weights, length)
         marked = repeated & (weights[span] == 1)
         head = marked & ~(np.concatenate([[False], marked[:-1]]) & (offset > 0))
         tail = marked & ~(np.concatenate([marked[1:], [False]]) & np.concatenate([offset[1:] > 0, [False]]))
         a, z = np.flatnonzero(head), np.flatnonzero(tail)
-        out = [(digest.take(pa.array(span[a])), at[span[a]] + offset[a], z - a + 1, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.full(len(a), -1))]
-        if hot.any():
-            of_hot = np.flatnonzero(hot[span])
-            _, once = np.unique(own[of_hot], return_index=True)
-            pick = of_hot[once]
-            strings = [xxhash.xxh3_128_digest(spans[s][o : o + length]) for s, o in zip(span[pick].tolist(), offset[pick].tolist(), strict=True)]
-            d = np.frombuffer(b"".join(strings), ">u8").reshape(-1, 2).astype(np.uint64).view(np.int64)
-            out.append((digest.take(pa.array(span[pick])), at[span[pick]] + offset[pick], np.where(repeated[pick], 0, 1), d[:, 0], d[:, 1], np.full(len(pick), t["shard"][0].as_py())))
+        out = [(digest.take(pa.array(span[a])), at[span[a]] + offset[a], z - a + 1, [None] * len(a), np.full(len(a), -1))]
+        if split.any():
+            of_split = np.flatnonzero(split[span])
+            _, once = np.unique(own[of_split], return_index=True)
+            pick = of_split[once]
+            strings = sorted((blake2b(memoryview(spans[s])[o : o + length], digest_size=32).digest(), i) for i, s, o in zip(pick.tolist(), span[pick].tolist(), offset[pick].tolist(), strict=True))
+            pick = np.array([i for _, i in strings], np.int64)
+            out.append((digest.take(pa.array(span[pick])), at[span[pick]] + offset[pick], np.where(repeated[pick], 0, 1), [d for d, _ in strings], np.full(len(pick), t["shard"][0].as_py())))
         names = [c.split()[0] for c in schema.split(", ")]
-        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.concat_tables([pa.table([p[0].combine_chunks().cast(kinds[0]), *[pa.array(c).cast(k) for c, k in zip(p[1:], kinds[1:], strict=True)]], names) for p in out])
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+        return pa.concat_tables([pa.table([p[0].combine_chunks().cast(kinds[0]), *[pa.array(c, k) if isinstance(c, list) else pa.array(c).cast(k) for c, k in zip(p[1:], kinds[1:], strict=True)]], names) for p in out])
 
     return run, schema
 
 
-def merge_runs(high: np.ndarray, low: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Whether each string is in the run of another shard. A shard's run holds a string once."""
-    found = np.zeros(len(high), bool)
-    order = np.lexsort((low, high, shard))
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
-    runs = np.split(order, cuts[1:])
-    merged = np.lexsort((low, high))
-    h, lo = high[merged], low[merged]
-    for run in runs:
-        a, z = np.searchsorted(h, high[run], "left"), np.searchsorted(h, high[run], "right")
-        for i in np.flatnonzero(z - a > 1):
-            x, y = np.searchsorted(lo[a[i] : z[i]], low[run[i]], "left"), np.searchsorted(lo[a[i] : z[i]], low[run[i]], "right")
-            found[run[i]] = y - x > 1
+def merge_runs(strings: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """Whether each string (a digest of 32 bytes) is in the run of another shard. A shard's run holds a string once."""
+    found = np.zeros(len(strings), bool)
+    order = np.lexsort((strings, shard))
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    merged = np.sort(strings)
+    for run in np.split(order, cuts):
+        found[run] = np.searchsorted(merged, strings[run], "right") - np.searchsorted(merged, strings[run], "left") > 1
     return found
 
 
 def _merge_task(t: pa.Table) -> pa.Table:
-    found = merge_runs(t["high"].to_numpy(), t["low"].to_numpy(), t["shard"].to_numpy()) & (t["n"].to_numpy() > 0)
+    found = merge_runs(np.array(t["string"].to_pylist(), "S32"), t["shard"].to_numpy()) & (t["n"].to_numpy() > 0)
     return t.select(["digest", "at", "n"]).filter(pa.array(found))
 
 
-def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """digest, at, n: runs of n starts, from byte ``at`` on, of strings that occur elsewhere. ``texts``: digest, bytes, copies."""
     whole = texts.where((F.col("copies") > 1) & (F.length("bytes") >= length)).select("digest", F.lit(0).alias("at"), (F.length("bytes") - (length - 1)).alias("n"))
     marked = cut(_classified(_all_cells(texts, length, gram)), "cells")
@@ -229,15 +218,16 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     differing = marked.where("first and look")
     size = differing.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
-    salt = F.when(F.col("kinds") > hot, F.pmod(F.xxhash64("digest", "at"), F.ceil(F.col("kinds") / hot))).otherwise(0)
-    listed = differing.withColumn("shard", F.pmod(F.xxhash64("hash", salt), F.lit(shards))).groupBy("digest").agg(F.collect_list(F.struct("at", "n", "weight", (F.col("kinds") > hot).alias("hot"), "shard")).alias("cells"))
-    span = F.transform("cells", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), c["weight"].alias("weight"), c["hot"].alias("hot"), c["shard"].alias("shard"), F.substring("bytes", c["at"] + 1, c["n"] + (length - 1)).alias("span")))
+    ways = F.ceil(F.col("kinds") / split)  # shards of a hash
+    salt = F.pmod(F.xxhash64("digest", "at"), ways)
+    listed = differing.withColumn("shard", F.pmod(F.xxhash64("hash", salt), F.lit(shards))).groupBy("digest").agg(F.collect_list(F.struct("at", "n", "weight", (ways > 1).alias("split"), "shard")).alias("cells"))
+    span = F.transform("cells", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), c["weight"].alias("weight"), c["split"].alias("split"), c["shard"].alias("shard"), F.substring("bytes", c["at"] + 1, c["n"] + (length - 1)).alias("span")))
     spans = texts.join(listed, "digest").select("digest", F.explode(span).alias("x")).select("digest", "x.*")
     run, schema = _shard_task(length)
     found = cut(spans.groupBy("shard").applyInArrow(run, schema), "shards")
     strings = found.where("shard >= 0")
     pieces = max(1, math.ceil(strings.count() / MERGE_ROWS))
-    across = strings.withColumn("piece", F.pmod("high", F.lit(pieces))).groupBy("piece").applyInArrow(_merge_task, "digest binary, at int, n int")
+    across = strings.withColumn("piece", F.floor(F.conv(F.hex(F.substring("string", 1, 4)), 16, 10).cast("long") * pieces / (1 << 32))).groupBy("piece").applyInArrow(_merge_task, "digest binary, at int, n int")
     parts = [whole, by_cell, found.where("shard < 0").select("digest", "at", "n"), across]
     out = parts[0]
     for p in parts[1:]:
@@ -247,7 +237,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, **limits: int) -> DataFrame:
     """digest, bytes, kept, spans (array of from, to in bytes, removed) of every distinct text; join on ``text_digest``."""
-    texts = _bucketed(distinct_texts(docs, text), "digest")
+    texts = bucketed(distinct_texts(docs, text), "digest")
     runs = repeated_starts(texts, length, gram, **limits).groupBy("digest").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import slices, tokenizer_path
 
 LEAF, CACHE = 256, 400_000
 #: White space as ASCII has it, so that a unit starts only where the vocabulary's pattern starts a piece too.
@@ -154,7 +154,7 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = unit_counter(tokenizer_path(vocabulary, folder))
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column(1).to_pylist():
                 tree = TokenTree(t or "", count, leaf)

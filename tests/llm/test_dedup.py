@@ -209,7 +209,7 @@ def plain_repeats(rows, length):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot": 2, "shard_bytes": 3000}])
+@pytest.mark.parametrize("limits", [{}, {"split": 2, "shard_bytes": 3000}])
 def test_long_repeats(spark, limits):
     r = random.Random(5)
     passage = sentence(r, 60)
@@ -222,6 +222,17 @@ def test_long_repeats(spark, limits):
     assert sd.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_runs_of_other_shards_are_searched():
+    r = random.Random(8)
+    strings = [bytes([r.randrange(3)]) + bytes(30) + bytes([r.randrange(40)]) for _ in range(300)]
+    rows = sorted({(r.randrange(5), s) for s in strings})
+    n = collections.Counter(s for _, s in rows)
+    r.shuffle(rows)
+    got = sd.merge_runs(np.array([s for _, s in rows], "S32"), np.array([k for k, _ in rows]))
+    assert got.tolist() == [n[s] > 1 for _, s in rows] and 0 < got.sum() < len(rows)
+    assert len(sd.merge_runs(np.array([], "S32"), np.array([], np.int64))) == 0
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_repeats_of_more_than_512_bytes_in_a_shard(seed):
     r = random.Random(seed)
