@@ -6,8 +6,8 @@ each line's probability of being good, and a document's quality is their mean we
 document labels by a logistic curve.
 
 Training lines take their document's label. Labelled documents are read for training only where
-``crc32(doc_id as text) % 5`` is not 0, and of those at most ``MAX_TRAIN`` (the first by a seeded hash of the id; the
-bound keeps training on the driver small, whatever the corpus). Labels, language, source and id are no features.
+``crc32(doc_id as text) % 5`` is not 0, and of those at most ``MAX_TRAIN`` (the first by a seeded hash of the id), without the ones
+whose lines would bring their number over ``MAX_LINES``; the bounds keep training on the driver small, whatever the corpus. Labels, language, source and id are no features.
 
 Defined results: null and empty texts are one empty line; a null id is not held out and never trains; a null label is no
 label; several labels of a document count as their least; with no labels of one kind, every score is the share of
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
-MAX_TRAIN, FOLDS, SEED, STEPS, CHUNK = 4000, 5, 11, 250, 1 << 20
+MAX_TRAIN, MAX_LINES, FOLDS, SEED, STEPS, CHUNK = 4000, 200_000, 5, 11, 250, 1 << 20
 
 SPACE, LOWER, UPPER, DIGIT, SYMBOL, BANG, PUNCT, OTHER, NONASCII, NEWLINE = range(10)
 _KIND = np.full(256, OTHER, np.uint8)
@@ -175,13 +175,18 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> Model:
     """A model from the labelled documents outside fold 0. Features are made on the executors."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(fold(F.col("doc_id")) != 0)
-    present = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
-    chosen = known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_train).collect()
-    quality_of = {r["doc_id"]: int(r["quality"]) for r in chosen}
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    present = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).alias("n")).join(known, "doc_id")
+    present = present.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("n").alias("n"))
+    quality_of, n_lines = {}, 0
+    for r in present.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_train).collect():
+        if n_lines + r["n"] <= max_lines:
+            quality_of[r["doc_id"]] = int(r["quality"])
+            n_lines += r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
