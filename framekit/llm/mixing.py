@@ -8,12 +8,15 @@ order, each that still fits what the ones before it have left, in ``FILLS`` turn
 
 The taken blocks (a block of several passes counts for each) are split among output shards by a tree: a node's quotas,
 one per source, are divided between its halves by a multivariate hypergeometric draw, down to the shards. Shards then
-draw disjoint blocks off the permutation by their quotas, and order their documents by a seeded hash. All draws are
-seeded by the tree's place, so reruns agree.
+draw disjoint blocks off the permutation by their quotas, and order their documents by a seeded hash. What is taken of a
+document is what the shards have drawn. All draws are seeded by the tree's place, so reruns agree.
+
+Running sums over a source's permuted blocks are made in ranges of the permutation, of some ``RANGE_BLOCKS`` blocks, from the sums of the
+ranges before. Shards hold about ``SHARD_BLOCKS`` blocks and are ``SHARDS`` at least; blocks grow where there would be over ``MOST_BLOCKS``.
 
 Defined results: null texts have size 0; documents of size 0 are taken with their block; a null source is a source of
 its own, the last; repeated rows share a block and are taken each; a corpus without words takes nothing; an empty
-table gives an empty table. The driver sees a row for each source only.
+table gives an empty table. The driver sees a row for each source, and makes one for each source and shard (``MOST_QUOTAS`` at most).
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, SPACE_CLASS, cut, partitions
 
 WEIGHTS, REPEATS, BLOCK, SEED, SHARDS, FILLS = (5, 2, 1), 3, 100_000, 17, 16, 5
+RANGE_BLOCKS, SHARD_BLOCKS, MOST_BLOCKS, MOST_QUOTAS = 4096, 1024, 500_000_000, 4_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -73,39 +77,68 @@ def _order(*keys: Column) -> Column:
     return F.xxhash64(F.lit(SEED), *keys)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, block_words: int = BLOCK) -> DataFrame:
+def _running(blocks: DataFrame, value: str, name: str) -> DataFrame:
+    """``blocks`` (s, range, key, block, ...) with the sum of ``value`` over the blocks of its source that come before in the permutation."""
+    through = lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
+    sums = blocks.groupBy("s", "range").agg(F.sum(value).alias(value))
+    sums = sums.select("s", "range", through(Window.partitionBy("s").orderBy("range")).alias("__base"))
+    inside = Window.partitionBy("s", "range").orderBy("key", "block")
+    return blocks.withColumn(name, through(inside)).join(sums, ["s", "range"]).withColumn(name, F.col(name) + F.col("__base")).drop("__base")
+
+
+def _with_shards(blocks: DataFrame, tree: np.ndarray) -> DataFrame:
+    """``blocks`` with ``shard_of``: the shard of each of its items, which are numbered from ``first`` on in their source."""
+    spark, ends = blocks.sparkSession, np.cumsum(tree, axis=0)
+    shards = spark.createDataFrame([(s, shard, int(ends[shard, s])) for shard in range(tree.shape[0]) for s in range(tree.shape[1])], "s int, shard int, end long")
+    ranges = blocks.groupBy("s", "range").agg(F.min("first").alias("begin"), F.sum("items").alias("items")).where("items > 0")
+    # each shard's end, in the order of items among the ranges' beginnings, falls into the range that began last
+    in_order = ranges.select("s", "range", F.col("begin").alias("at"), F.lit(0).alias("is_end")).unionByName(shards.select("s", F.lit(None).cast("long").alias("range"), F.col("end").alias("at"), F.lit(1).alias("is_end")))
+    order = Window.partitionBy("s").orderBy("at", F.desc("is_end"), "range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = in_order.withColumn("before", F.sum("is_end").over(order)).withColumn("of", F.last("range", ignorenulls=True).over(order))
+    inside = placed.where("of is not null").groupBy("s", F.col("of").alias("range")).agg(F.min("before").alias("low"), F.collect_list(F.when(F.col("is_end") == 1, F.col("at"))).alias("ends"))
+    joined = blocks.join(inside, ["s", "range"], "left")
+    shard_of = lambda item: (F.col("low") + F.size(F.filter("ends", lambda e: e <= item))).cast("int")
+    return joined.withColumn("shard_of", F.when(F.col("items") > 0, F.transform(F.sequence(F.lit(0), F.col("items") - 1), lambda e: shard_of(F.col("first") + e))).otherwise(F.array().cast("array<int>"))).drop("low", "ends")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, block_words: int = BLOCK, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (times taken), placed: an array of (shard, place) of the epochs.
 
     ``place`` orders a shard. Texts are read once, for their sizes; everything else moves ids and numbers.
     """
+    return _mix(docs, doc_id, text, source, shards, block_words, range_blocks)[0]
+
+
+def _mix(docs: DataFrame, doc_id: str, text: str, source: str, shards: int | None = None, block_words: int = BLOCK, range_blocks: int = RANGE_BLOCKS) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [r["n"] for r in per_source]
     goals = targets(sizes)
+    block_words = max(block_words, math.ceil(sum(sizes) / MOST_BLOCKS))
+    n_blocks = [max(1, math.ceil(n / block_words)) for n in sizes]
     plan = spark.createDataFrame(
-        [(i, r["source"], n, t, *_passes(n, t), max(1, math.ceil(n / block_words))) for i, (r, n, t) in enumerate(zip(per_source, sizes, goals, strict=True))],
+        [(i, r["source"], n, t, *_passes(n, t), b) for i, (r, n, t, b) in enumerate(zip(per_source, sizes, goals, n_blocks, strict=True))],
         "s int, source string, source_size long, target double, passes int, rest double, blocks long",
     )
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     dealt = sized.join(F.broadcast(plan) if len(sizes) <= 100_000 else plan, same(sized, plan)).drop(sized["source"])
     dealt = dealt.withColumn("block", F.pmod(_order(F.lit("block"), F.col("doc_id")), F.col("blocks")))
-    blocks = cut(dealt.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes")), "blocks")
-    permuted = Window.partitionBy("s").orderBy(_order(F.lit("permute"), F.col("s"), F.col("block")), "block")
-    before = F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
-    blocks = blocks.withColumn("before", before)
+    bits = math.ceil(math.log2(max([1, *n_blocks]) / range_blocks)) if max([1, *n_blocks]) > range_blocks else 0
+    key = _order(F.lit("permute"), F.col("s"), F.col("block"))
+    blocks = dealt.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    blocks = cut(blocks.withColumn("key", key).withColumn("range", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long")), "blocks")
+    blocks = _running(blocks, "words", "before")
     blocks = blocks.withColumn("whole", F.col("before") + F.col("words") <= F.col("rest")).withColumn("part", ~F.col("whole") & (F.col("before") < F.col("rest")))
-    blocks = blocks.withColumn("items", F.col("passes") + F.when(F.col("whole") | F.col("part"), 1).otherwise(0))
-    blocks = cut(blocks.withColumn("first", F.sum("items").over(permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("items")), "permuted")
+    blocks = cut(blocks.withColumn("items", (F.col("passes") + F.when(F.col("whole") | F.col("part"), 1).otherwise(0)).cast("long")), "taken")
+    blocks = cut(_running(blocks, "items", "first"), "permuted")
 
     counted = {r["s"]: r["n"] for r in blocks.groupBy("s").agg(F.sum("items").alias("n")).collect()}
-    tree = split_tree(np.array([counted.get(i, 0) for i in range(len(sizes))], np.int64), shards) if sizes else np.zeros((shards, 0), np.int64)
-    ends = np.cumsum(tree, axis=0)
-    bounds = spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(sizes))], "s int, ends array<long>")
-    blocks = blocks.join(bounds, "s")
-    shard_of = lambda item: F.size(F.filter("ends", lambda e: e <= item))
-    blocks = blocks.withColumn("shard_of", F.when(F.col("items") > 0, F.transform(F.sequence(F.lit(0), F.col("items") - 1), lambda e: shard_of(F.col("first") + e))).otherwise(F.array().cast("array<int>")))
+    quotas = np.array([counted.get(i, 0) for i in range(len(sizes))], np.int64)
+    if shards is None:
+        shards = max(SHARDS, min(math.ceil(int(quotas.sum()) / SHARD_BLOCKS), MOST_QUOTAS // max(1, len(sizes))))
+    blocks = _with_shards(blocks, split_tree(quotas, shards) if sizes else np.zeros((shards, 0), np.int64))
 
     joined = dealt.join(blocks.select("s", "block", "before", "whole", "part", "shard_of"), ["s", "block"])
     inside = Window.partitionBy("s", "block")
@@ -119,7 +152,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     taken = joined.where("not part").withColumn("last", F.col("whole")).unionByName(partial)
     taken = taken.withColumn("epochs", F.when(F.col("target") > 0, F.col("passes") + F.col("last").cast("int")).otherwise(0))
     place = lambda shard, e: F.struct(shard.alias("shard"), _order(F.lit("place"), F.col("doc_id"), e).alias("place"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "epochs", F.transform(F.slice("shard_of", F.lit(1), F.col("epochs")), place).alias("placed"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "epochs", F.transform(F.slice("shard_of", F.lit(1), F.col("epochs")), place).alias("placed")), shards
 
 
 def _passes(size: int, target: float) -> tuple[int, float]:
@@ -136,9 +169,10 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     Each copy goes to the shard that the tree has drawn for it and lies there by its place. Where there are more
     partitions than shards, a shard is cut into equal ranges of places.
     """
-    taken = mix(docs, doc_id, text, source, **options).where("epochs > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("placed", "epochs").alias("__placed"))
+    drawn, shards = _mix(docs, doc_id, text, source, **options)
+    taken = drawn.where("epochs > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("placed", "epochs").alias("__placed"))
     joined = docs.join(taken, F.col(doc_id).eqNullSafe(F.col("__id")))
     copies = joined.select(*[docs[c] for c in docs.columns], F.explode("__placed").alias("__at"))
-    ranges = math.ceil(partitions(docs) / options.get("shards", SHARDS))
+    ranges = math.ceil(partitions(docs) / shards)
     part = F.shiftright((F.shiftright(F.col("__at.place"), 32) + (1 << 31)) * ranges, 32)
     return copies.repartition(partitions(docs), "__at.shard", part).sortWithinPartitions("__at.shard", "__at.place").drop("__at")

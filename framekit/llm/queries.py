@@ -45,7 +45,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mx.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "placed")
+    return out.select("doc_id", "size", "source_size", "target", (F.size("placed") * F.col("size")).alias("taken"), "placed")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

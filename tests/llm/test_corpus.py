@@ -104,7 +104,7 @@ def test_mix(spark, block):
     for s in order:
         largest = max(r["size"] for r in out if r["source"] == s)
         assert target[s] - largest <= taken[s] <= target[s] + 1e-6
-    again = {(r["doc_id"], r["size"], r["epochs"], str(r["placed"])) for r in mx.mix(docs.repartition(5), block_words=block, shards=4).collect()}
+    again = {(r["doc_id"], r["size"], r["epochs"], str(r["placed"])) for r in mx.mix(docs.repartition(5), block_words=block, shards=4, range_blocks=2).collect()}
     assert again == {(r["doc_id"], r["size"], r["epochs"], str(r["placed"])) for r in out}
     assert mx.mix(frame(spark, [])).count() == 0 and mx.mixed(frame(spark, [])).count() == 0
 
