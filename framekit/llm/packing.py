@@ -32,14 +32,19 @@ from pyspark.sql import functions as F
 
 from .common import slices, tokenizer_path, utf8
 
-WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 16 << 20, 33
+WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 24 << 20, 33
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 
 
 #: Bytes that a cached word takes besides its own and its ids'.
 OBJECTS = 170
-#: A comma or full stop at the end of a word; after a letter or digit it is a piece of its own.
-_STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \t\n\x0b\x0c\r])")
+#: The end of a word that is a piece of its own: signs (without those of contractions and special tokens) after a letter or digit.
+_STOP = re.compile(rb"(?:(?<=[A-Za-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:;=?@\[-`{}~]+)(?=[ \t\n\x0b\x0c\r])")
+#: A word of lower-case letters that normal forms and letter case leave alone, which is one piece.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level vocabularies write bytes that don't print as the characters from 256 on.
+_UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_UNPRINTED)}
 
 
 def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Iterator[bytes]]:
@@ -47,7 +52,8 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
 
     Ids are looked up by word, in two caches of this process of up to ``cache`` bytes: when the younger is full it becomes the
     older, from which words come back as they are met again. Words in neither are encoded together, with a NUL between them, whose id cuts the ids into words again. So that words meet more often, A-Z
-    become lower case (not in texts with combining marks or special tokens, where the order of steps could matter) and stops are split off.
+    become lower case (not in texts with combining marks or special tokens, where the order of steps could matter) and
+    signs at their ends are split off. Words of plain letters go to the model of the vocabulary directly, as they are one piece each.
     """
     from tokenizers import Tokenizer
 
@@ -57,10 +63,11 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
     if path not in (made := kept.__dict__.setdefault("encoders", {})):
         made[path] = (Tokenizer.from_file(path), [{}, {}, 0])
     tokenizer, caches = made[path]
-    nul = tokenizer.encode("\0", add_special_tokens=False).ids
+    nul, model = tokenizer.encode("\0", add_special_tokens=False).ids, tokenizer.model
 
     def learn(words: list[bytes]) -> dict[bytes, bytes]:
-        known = {}
+        known = {w: np.array([t.id for t in model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_LEVEL))], "<u4").tobytes() for w in words if _PLAIN.fullmatch(w)}
+        words = [w for w in words if w not in known]
         plain = [w for w in words if b"\0" not in w and b"<|" not in w]
         odd = words if len(nul) != 1 else [w for w in words if b"\0" in w or b"<|" in w]
         for at in range(0, len(plain) if len(nul) == 1 else 0, 4096):

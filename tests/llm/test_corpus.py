@@ -223,7 +223,7 @@ def test_words_alone_encode_as_in_texts():
 
     path = tokenizer_path("word_bpe_49k.json")
     tokenizer, encode, r = Tokenizer.from_file(path), pk.word_encoder(path), random.Random(2)
-    parts = ["a", "T", "é", "̈", "ẗ", "İ", "Σ", "ς", ".", ",", " ", "\n", "\t", "\0", "7", "²", "'s", "’", "<|endoftext|>", "<|EndOfText|>", "€", "日本", "🙂", " ", " ", "word", "\x1c", "'S", "ﬁ", "!", "K"]
+    parts = ["a", "T", "é", "̈", "ẗ", "İ", "Σ", "ς", ".", ",", " ", "\n", "\t", "\0", "7", "²", "'s", "’", "<|endoftext|>", "<|EndOfText|>", "€", "日本", "🙂", " ", " ", "word", "\x1c", "'S", "ﬁ", "!", "K", "ß", "÷", "ÿ", "É", "***", "&;", "|>", "<", "'", "x%%%. ", "\u0130", "ñ#"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(4000)]
     for t, got in zip(texts, encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
