@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, tokenizer_path, utf8
 
-WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 24 << 20, 33
+WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 40 << 20, 33
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 
 
@@ -66,7 +66,13 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
     nul, model = tokenizer.encode("\0", add_special_tokens=False).ids, tokenizer.model
 
     def learn(words: list[bytes]) -> dict[bytes, bytes]:
-        known = {w: np.array([t.id for t in model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_LEVEL))], "<u4").tobytes() for w in words if _PLAIN.fullmatch(w)}
+        letters = [w for w in words if w.isalpha() and w.islower() or _PLAIN.fullmatch(w)]
+        flat, ends = [], [0]
+        for w in letters:
+            flat += [t.id for t in model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_LEVEL))]
+            ends.append(4 * len(flat))
+        data = np.array(flat, "<u4").tobytes()
+        known = {w: data[a:z] for w, a, z in zip(letters, ends, ends[1:])}
         words = [w for w in words if w not in known]
         plain = [w for w in words if b"\0" not in w and b"<|" not in w]
         odd = words if len(nul) != 1 else [w for w in words if b"\0" in w or b"<|" in w]
@@ -84,11 +90,11 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
 
     def known_of(words: set[bytes]) -> dict[bytes, bytes]:
         young, old, size = caches
-        missing = words.difference(young)
-        fresh = {w: old[w] for w in missing.intersection(old)}
-        fresh |= learn(list(missing.difference(fresh)))
+        missing = [w for w in words if w not in young]
+        fresh = {w: old[w] for w in missing if w in old}
+        fresh |= learn([w for w in missing if w not in fresh])
         young |= fresh
-        size += sum(OBJECTS + len(w) + len(ids) for w, ids in fresh.items())
+        size += OBJECTS * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
         caches[:] = ({}, young, 0) if size > cache else (young, old, size)
         return young
 
