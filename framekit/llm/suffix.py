@@ -86,17 +86,3 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, lanes: int = 2
         h = np.maximum(h - 1, 0)
     lcp[0] = 0
     return plcp[sa]
-
-
-def common_prefixes_of_integers(symbols: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """As ``common_prefixes``, for few symbols of any size: neighbours are compared symbol by symbol, up to ``limit``."""
-    n = len(symbols)
-    lcp = np.zeros(n, np.int32)
-    live = np.arange(1, n)
-    for h in range(limit):
-        a, b = sa[live] + h, sa[live - 1] + h
-        fits = (a < n) & (b < n)
-        live, a, b = live[fits], a[fits], b[fits]
-        live = live[symbols[a] == symbols[b]]
-        lcp[live] = h + 1
-    return lcp

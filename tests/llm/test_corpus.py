@@ -42,11 +42,72 @@ def test_blocks(body, text):
     assert "\n".join(found).replace("\xa0", " ").split("\n")[: text.count("\n") + 1] == text.split("\n") if "broken" in body else "\n".join(found) == text
 
 
-def test_boilerplate_by_suffix_array():
-    streams = [["a", "b", "c", "d", str(i), "own", f"w{i}"] for i in range(5)] + [["a", "b", "c"], []]
-    got = ht.boilerplate(streams, list(range(7)), tokens=4, least=3)
-    assert [g.tolist() for g in got[:5]] == [[True] * 4 + [False] * 3] * 5 and not got[5].any() and len(got[6]) == 0
-    assert not any(g.any() for g in ht.boilerplate([["a", "b", "c", "d"]] * 5, [1] * 5, 4, 3))  # one page only
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<div class='widget-area'><article><p>text of it</p></article></div>", "text of it"),
+        ("<div class='sidebar'><article><p>a card</p></article></div>", ""),
+        (f"<article><p>one</p><div class='search-results'><p>{'many words ' * 30}</p></div></article>", "one\n" + ("many words " * 30).strip()),
+        (f"<article><p>one</p><div class='search-menu'><a href='x'>{'many words ' * 30}</a></div></article>", "one"),
+        ("<article><p>one</p><div class='share-buttons'>Share this</div><p>two</p></article>", "one\ntwo"),
+        ("<article><header><h1>Title <i>of</i> it</h1><p>by someone, today</p></header><p>text</p></article>", "Title of it\ntext"),
+        ("<article><header><nav><h2>Menu</h2></nav><h1>Title</h1></header><p>text</p></article>", "Title\ntext"),
+        ("<article><p>one <span class='ad'>buy</span> two</p></article>", "one\ntwo"),
+    ],
+)
+def test_marks_of_noise(body, text):
+    assert "\n".join(t for z, t in ht.blocks_of(PAGE.format(body=body)) if z == ht.MAIN) == text
+
+
+def test_strings_and_their_classes():
+    r = random.Random(3)
+    blocks = [" ".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    s = ht.Strings(blocks, tokens=3, every=2)
+    words = [x.split() for x in blocks]
+    strings = [tuple(words[b][at : at + 3]) for b, at in zip(s.block, s.start - s.begin[s.block], strict=True)]
+    for b, w in enumerate(words):  # at both ends, wherever the block has room
+        own = (s.start - s.begin[s.block])[s.block == b].tolist()
+        assert own[0] == 0 and (len(w) < 3 or own[-1] == len(w) - 3)
+    by = lambda key: [[k for k, x in enumerate(key) if x == y] for y in dict.fromkeys(key)]
+    assert sorted(by(strings)) == sorted(by(s.classes().tolist())) == sorted(by(s.digest.tolist()))
+    page = np.arange(60) % 7
+    got = dict(zip(*(x.tolist() for x in s.counts(page)), strict=True))
+    assert got == {d: len({int(page[b]) for b, e in zip(s.block, s.digest.tolist(), strict=True) if e == d}) for d in s.digest.tolist()}
+    assert len(ht.Strings([]).classes()) == 0
+
+
+@pytest.mark.parametrize("shard_pages", [1000, 7])
+def test_hosts_without_articles(spark, shard_pages):
+    """Fifty pages and more over two hosts: what the host repeats goes, whatever the shards; what pages share by chance stays."""
+    r = random.Random(1)
+    menu, note, phrase = "Home About us Contact", sentence(r, 20), sentence(r, 5)
+    rows, want = [], {}
+    for i in range(70):
+        own = [f"{sentence(r, 15)} {phrase} {sentence(r, 15)}", sentence(r, 40)]
+        notes = i < 40 or i % 10 == 0  # the second host has the note in three pages
+        parts = [menu, own[0], f"{own[1]} {note}" if notes and i % 2 else own[1], *([note] if notes and i % 2 == 0 else [])]
+        rows.append((i, f"http://{'big' if i < 40 else 'small'}.example/{i}", "<body>" + "".join(f"<div>{p}</div>" for p in parts)))
+        want[i] = own
+    copy = sentence(r, 50)
+    rows += [(100 + i, f"http://big.example/copy{i}", f"<body><p>{copy}</p><p>{sentence(r, 12)}") for i in range(2)] + [(110 + i, "http://small.example/same", f"<p>{copy}") for i in range(9)]
+    line = sentence(r, 14)
+    rows += [(200 + i, f"http://third.example/{i}", f"<article><p>{sentence(r, 30)}</p><p>{line}</p><p>more {i}</p></article>") for i in range(8)]
+    got = {x["page_id"]: x["text"] for x in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_pages=shard_pages).collect()}
+    for i in range(70):
+        text = got[i].split("\n")
+        assert menu not in text and text[0] == want[i][0]
+        assert text[1].startswith(want[i][1]) and len(text) == 2
+        assert note.split()[-12:] != text[1].split()[-12:]
+    assert all(got[110 + i] == copy for i in range(9)) and all(got[100 + i].startswith(copy) for i in range(2))
+    assert all(line not in got[200 + i] and got[200 + i].endswith(f"more {i}") for i in range(8))
+
+
+def test_copies_of_articles_stay_whole(spark):
+    r = random.Random(2)
+    text = [sentence(r, 30) for _ in range(6)]
+    rows = [(i, f"http://h.example/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in text) + f"<p>{sentence(r, 3)}</p></article>") for i in range(9)]
+    for x in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert x["text"].split("\n")[:6] == text
 
 
 def test_pages_without_article(spark):

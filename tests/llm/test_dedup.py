@@ -189,9 +189,6 @@ def test_suffix_arrays(seed):
     lcp = sx.common_prefixes(d, sa, 64, lanes=int(r.integers(1, 9)))
     same = lambda x, y: next((k for k in range(64) if max(x, y) + k >= n or b[x + k] != b[y + k]), 64)
     assert list(lcp) == [same(sa[i - 1], sa[i]) if i else 0 for i in range(n)]
-    ints = d.astype(np.int64)
-    sa = sx.suffix_array(ints, 1, 16)
-    assert list(sx.common_prefixes_of_integers(ints, sa, 16)) == [min(16, same(sa[i - 1], sa[i])) if i else 0 for i in range(n)]
 
 
 def plain_repeats(rows, length):
