@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import slices, tokenizer_path, utf8
 
-WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 40 << 20, 33
+WINDOW, END, HOLD, CACHE, SHIFT = 4096, 2, 1 << 23, 48 << 20, 33
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 
 
 #: Bytes that a cached word takes besides its own and its ids'.
 OBJECTS = 170
-#: The end of a word that is a piece of its own: signs (without those of contractions and special tokens) after a letter or digit.
-_STOP = re.compile(rb"(?:(?<=[A-Za-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:;=?@\[-`{}~]+)(?=[ \t\n\x0b\x0c\r])")
+#: A word that ends in signs (without those of contractions and special tokens) after a letter or digit; they are a piece of their own.
+_STOP = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:;=?@\[-`{}~]+)", re.DOTALL)
 #: A word of lower-case letters that normal forms and letter case leave alone, which is one piece.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Byte-level vocabularies write bytes that don't print as the characters from 256 on.
@@ -47,13 +48,50 @@ _UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_UNPRINTED)}
 
 
+class Words(dict):
+    """Ids (little-endian, four bytes each) of words, made as they are met.
+
+    Where they take too much room, the longer half goes: short words come again more often. Words of plain letters, one piece
+    each, go to the model of the vocabulary directly.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.size = tokenizer, tokenizer.model, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():
+            ids = self.packed([t.id for t in self.model.tokenize(word.decode())])
+        elif found := _STOP.fullmatch(word):
+            ids = self[found[1]] + self[found[2]]
+        elif _PLAIN.fullmatch(word):
+            ids = self.packed([t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_LEVEL))])
+        else:
+            ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        self[word] = ids
+        self.size += OBJECTS + len(word) + len(ids)
+        return ids
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def keep_within(self, room: int) -> None:
+        if self.size > room:
+            kept, self.size = [], 0
+            for word, ids in sorted(self.items(), key=lambda x: len(x[0])):
+                self.size += OBJECTS + len(word) + len(ids)
+                if 2 * self.size > room:
+                    break
+                kept.append((word, ids))
+            self.clear()
+            self.update(kept)
+
+
 def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Iterator[bytes]]:
-    """Texts to ids (little-endian, four bytes each) by a tokenizer that lower-cases and never joins what white space separates.
+    """Texts to ids by a tokenizer that lower-cases and never joins what white space separates.
 
-    Ids are looked up by word, in two caches of this process of up to ``cache`` bytes: when the younger is full it becomes the
-    older, from which words come back as they are met again. Words in neither are encoded together, with a NUL between them, whose id cuts the ids into words again. So that words meet more often, A-Z
-    become lower case (not in texts with combining marks or special tokens, where the order of steps could matter) and
-    signs at their ends are split off. Words of plain letters go to the model of the vocabulary directly, as they are one piece each.
+    Ids are looked up by word, in a cache of this process. So that words meet more often, A-Z become lower case (not in texts with
+    combining marks or special tokens, where the order of steps could matter).
     """
     from tokenizers import Tokenizer
 
@@ -61,54 +99,15 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
     # executor code is sent by value: what outlives a task is kept under a name in sys.modules
     kept = sys.modules.setdefault("_framekit_worker", ModuleType("_framekit_worker"))
     if path not in (made := kept.__dict__.setdefault("encoders", {})):
-        made[path] = (Tokenizer.from_file(path), [{}, {}, 0])
-    tokenizer, caches = made[path]
-    nul, model = tokenizer.encode("\0", add_special_tokens=False).ids, tokenizer.model
-
-    def learn(words: list[bytes]) -> dict[bytes, bytes]:
-        letters = [w for w in words if w.isalpha() and w.islower() or _PLAIN.fullmatch(w)]
-        flat, ends = [], [0]
-        for w in letters:
-            flat += [t.id for t in model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_LEVEL))]
-            ends.append(4 * len(flat))
-        data = np.array(flat, "<u4").tobytes()
-        known = {w: data[a:z] for w, a, z in zip(letters, ends, ends[1:])}
-        words = [w for w in words if w not in known]
-        plain = [w for w in words if b"\0" not in w and b"<|" not in w]
-        odd = words if len(nul) != 1 else [w for w in words if b"\0" in w or b"<|" in w]
-        for at in range(0, len(plain) if len(nul) == 1 else 0, 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(tokenizer.encode_batch_fast([(b" \0 ".join(some) + b" \0").decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == nul[0])
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist(), strict=True):
-                known[w] = data[begin:end]
-                begin = end + 4
-        for w in odd:
-            known[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return known
-
-    def known_of(words: set[bytes]) -> dict[bytes, bytes]:
-        young, old, size = caches
-        missing = [w for w in words if w not in young]
-        fresh = {w: old[w] for w in missing if w in old}
-        fresh |= learn([w for w in missing if w not in fresh])
-        young |= fresh
-        size += OBJECTS * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
-        caches[:] = ({}, young, 0) if size > cache else (young, old, size)
-        return young
-
-    def words_of(t: bytes) -> list[bytes]:
-        if b"\xcc" not in t and b"\xcd" not in t and b"<|" not in t:
-            t = t.lower()
-        return _STOP.sub(rb" \1", t + b"\n").split()
+        made[path] = Words(Tokenizer.from_file(path))
+    words = made[path]
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            split = [words_of(t) for t in texts[at : at + 256]]
-            get = known_of(set().union(*split)).__getitem__
-            for w in split:
-                yield b"".join(map(get, w))
+        for t in texts:
+            if b"\xcc" not in t and b"\xcd" not in t and b"<|" not in t:
+                t = t.lower()
+            yield b"".join(map(words.__getitem__, t.split()))
+            words.keep_within(cache)
 
     return encode
 

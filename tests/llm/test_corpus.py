@@ -248,15 +248,15 @@ def test_placement_decides_most():
         assert sum(p[1] for p in pieces) == total and sum(p[1] for p in pieces if not p[4]) >= least * total
 
 
-def test_word_cache_of_two_generations():
+def test_word_cache_is_bounded():
     path = tokenizer_path("word_bpe_49k.json")
     r = random.Random(9)
     texts = [" ".join(f"w{r.randrange(3000)}x{r.choice('abc')}" for _ in range(50)).encode() for _ in range(900)]
     want = list(pk.word_encoder(path)(texts))
-    kept = sys.modules["_framekit_worker"].encoders[path][1]
-    kept[:] = [{}, {}, 0]
-    assert list(pk.word_encoder(path, cache=50_000)(texts)) == want
-    assert kept[2] <= 50_000 and kept[1]
+    kept = sys.modules["_framekit_worker"].encoders[path]
+    kept.keep_within(0)
+    assert not kept and list(pk.word_encoder(path, cache=50_000)(texts)) == want
+    assert kept.size <= 60_000 and len(kept) > 100
 
 
 def test_packed_documents(spark):
