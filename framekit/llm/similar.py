@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, utf8
 from .components import components
 
-SHINGLE, HOT, MOST_HOT, HUBS, SKETCH, SEED = 5, 16, 100_000, 4, 256, 42
+SHINGLE, HOT, MOST_HOT, HUBS, SKETCH, BUCKET, SEED = 5, 16, 100_000, 4, 256, 24, 42
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -45,10 +45,10 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first shingles that a set shares with any similar one; ``hot`` is sorted."""
+    """The first shingles that a set shares with any similar one; ``hot`` is sorted and holds them without their last BUCKET bits."""
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        late = hot[at] == tokens
+        at = np.minimum(np.searchsorted(hot, tokens >> BUCKET), len(hot) - 1)
+        late = hot[at] == tokens >> BUCKET
         tokens = np.concatenate([tokens[~late], tokens[late]])
     return tokens[: len(tokens) // 5 + 1]
 
@@ -75,8 +75,8 @@ def _map(docs: DataFrame, fields: str, row) -> DataFrame:
 def postings(docs: DataFrame, hot_docs: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """token, rep, n, place of the prefix shingles that several sets share; rep, sketch; and links a, b of documents to the least one with
     the same set. ``docs``: doc_id, text."""
-    # twice the prefix: what comes forward when hot shingles go back has been counted too
-    often = _map(docs, "head array<long>", lambda s: (s[: 2 * (len(s) // 5 + 1)],)).select(F.explode("head").alias("token")).groupBy("token").count()
+    # a quarter more than the prefix: what comes forward when hot shingles go back has been counted too
+    often = _map(docs, "head array<long>", lambda s: (s[: len(s) // 4 + 2] >> BUCKET,)).select(F.explode("head").alias("token")).groupBy("token").count()
     hot = np.sort(np.array([r["token"] for r in often.where(F.col("count") > hot_docs).orderBy(F.desc("count"), "token").limit(MOST_HOT).collect()], np.int64))
     sets = cut(_map(docs, "digest binary, n int, head array<long>, sketch array<long>", lambda s: (xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s, hot), sketch(s))).where("n > 0"), "prefixes")
     first = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
