@@ -57,9 +57,10 @@ def pct_change(frame: Frame, periods: int = 1, fill_method: str | None = "pad")
             else:
                 sdf = ordering.carry(sdf, out.order, "__fill", "__fill")
         elif fill_method in ("bfill", "backfill"):
-            if not out.by:
-                raise ValueError("bfill needs a partition key")
-            sdf = sdf.withColumn("__fill", F.first("__fill", ignorenulls=True).over(out.window().rowsBetween(0, Window.unboundedFollowing)))
+            if out.by:
+                sdf = sdf.withColumn("__fill", F.first("__fill", ignorenulls=True).over(out.window().rowsBetween(0, Window.unboundedFollowing)))
+            else:
+                sdf = ordering.carry(sdf, out.order, "__fill", "__fill", back=True)
         moved = _moved(out._with(sdf), "__fill", periods, "__before")
         out = out._with(moved.sdf.withColumn(c, ieee_div(F.col("__fill"), F.col("__before")) - 1).drop("__fill", "__before"))
     return out._with(out.sdf, columns)

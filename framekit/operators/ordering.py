@@ -37,14 +37,15 @@ def positions(sdf: DataFrame, order: list[str]) -> DataFrame:
     return scan(sdf, order, {POS: F.lit(1).cast("long")}).withColumn(POS, F.col(POS) - 1)
 
 
-def carry(sdf: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
-    """``sdf`` with the last known value of ``column`` up to each row, over the whole order."""
-    ranged = _ranged(sdf, order)
-    ends = ranged.groupBy("__part").agg(F.max_by(F.when(F.col(column).isNotNull(), F.col(column)), F.when(F.col(column).isNotNull(), F.struct(*order))).alias("__last"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("__part", F.last("__last", ignorenulls=True).over(before).alias("__before"))
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(ends), "__part").withColumn(name, F.coalesce(F.last(column, ignorenulls=True).over(inside), "__before")).drop("__part", "__before")
+def carry(sdf: DataFrame, order: list[str], column: str, name: str, back: bool = False) -> DataFrame:
+    """``sdf`` with the last known value of ``column`` up to each row, over the whole order; with ``back`` the next known from each row on."""
+    ranged, known = _ranged(sdf, order), F.when(F.col(column).isNotNull(), F.struct(*order))
+    pick, nearest = (F.min_by, F.first) if back else (F.max_by, F.last)
+    others, inside = ((1, Window.unboundedFollowing), (0, Window.unboundedFollowing)) if back else ((Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0))
+    ends = ranged.groupBy("__part").agg(pick(F.when(F.col(column).isNotNull(), F.col(column)), known).alias("__end"))
+    ends = ends.select("__part", nearest("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(*others)).alias("__beyond"))
+    own = nearest(column, ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(*inside))
+    return ranged.join(F.broadcast(ends), "__part").withColumn(name, F.coalesce(own, "__beyond")).drop("__part", "__beyond")
 
 
 def with_halo(sdf: DataFrame, order: list[str], back: int, ahead: int = 0, rows: int = BUCKET_ROWS) -> DataFrame:

@@ -60,7 +60,12 @@ class Rolling:
         frame, by = self.frame, self.frame.by
         sdf, order, own = frame.sdf, frame.order, None
         if self.timed:
-            whole = Window.partitionBy(*by).orderBy(micros(F.col(self.on)))
+            time = micros(F.col(self.on))
+            if not by:  # a window's rows lie in its own stretch of time, as long as the window, and the one before
+                home = F.floor(time / self.size)
+                sdf = sdf.withColumn("__bucket", F.explode(F.array_distinct(F.array(home, home + 1)))).withColumn("__own", F.col("__bucket").eqNullSafe(home))
+                by, own = ["__bucket"], "__own"
+            whole = Window.partitionBy(*by).orderBy(time)
             w, up = whole.rangeBetween(-(self.size - 1), 0), whole.rangeBetween(Window.unboundedPreceding, 0)
         else:
             low, high = self._bounds()

@@ -160,3 +160,16 @@ add("index_contains", "§2.11 index", lambda s, d: I.contains(s.read.parquet(f"{
 add("index_equals", "§2.11 index", lambda s, d: I.equals(s.range(5).toDF("a"), s.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("b")), ["a"], ["b"]), "SELECT true AS equals")
 add("index_product", "§2.11 multi-index", lambda s, d: I.from_product([("a", s.read.parquet(f"{d}/region.parquet").select("r_name")), ("b", s.range(3))]), "SELECT r_name AS a, range AS b FROM region, range(3)")
 add("index_codes", "§2.11 multi-index", lambda s, d: I.codes(s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"), "n_name"), "SELECT n_nationkey, n_name, dense_rank() OVER (ORDER BY n_name) - 1 AS code FROM nation")
+
+
+def nations(s, d, where="true"):
+    return s.read.parquet(f"{d}/nation.parquet").where(where).select(F.col("n_nationkey").alias("k"))
+
+
+PLACED = "(SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation WHERE {})"
+add("index_take", "§2.11 index", lambda s, d: I.take(nations(s, d), ["k"], s.createDataFrame([(3,), (0,), (-1,), (3,)], "at long")), f"SELECT a AS \"at\", k FROM (VALUES (3), (0), (-1), (3)) t(a) JOIN {PLACED.format('true')} ON p = CASE WHEN a < 0 THEN a + (SELECT count(*) FROM nation) ELSE a END")
+add("index_append", "§2.11 index", lambda s, d: I.append(nations(s, d, "n_nationkey > 20"), nations(s, d, "n_nationkey < 3"), ["k"], ["k"]), f"SELECT p AS position, k FROM {PLACED.format('n_nationkey > 20')} UNION ALL SELECT p + (SELECT count(*) FROM nation WHERE n_nationkey > 20), k FROM {PLACED.format('n_nationkey < 3')}")
+add("index_join", "§2.11 index", lambda s, d: I.join(nations(s, d, "n_nationkey % 2 = 0"), nations(s, d, "n_nationkey % 3 = 0"), ["k"], ["k"]), f"SELECT k, coalesce(x.p, -1) AS left, coalesce(y.p, -1) AS right FROM {PLACED.format('n_nationkey % 2 = 0')} x FULL JOIN {PLACED.format('n_nationkey % 3 = 0')} y USING (k)")
+add("index_eq", "§2.11 index", lambda s, d: I.compare(nations(s, d), s.range(0, 50, 2).toDF("k"), ["k"], ["k"]), f"SELECT p AS position, k = 2 * p AS eq FROM {PLACED.format('true')}")
+add("index_from_tuples", "§2.11 multi-index", lambda s, d: I.from_tuples(s, [("a", 2), ("b", 1), ("a", 1)], ["x", "y"]), "SELECT * FROM (VALUES (0, 'a', 2), (1, 'b', 1), (2, 'a', 1)) t(position, x, y)")
+add("index_levels", "§2.11 multi-index", lambda s, d: I.levels(s.read.parquet(f"{d}/customer.parquet"), "c_mktsegment"), "SELECT row_number() OVER (ORDER BY c_mktsegment) - 1 AS code, c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)")

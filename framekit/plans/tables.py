@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators.joins import merge_asof
 from ..pinning import pin, scratch
-from ..sources import readers
+from ..sources import images, readers
 from ..streaming import events as streams
 from .registry import add, load, rounded
 
@@ -80,13 +81,39 @@ add("io_glob", "OP-015", lambda s, d: readers.paths(s, f"{d}/region.parquet").se
 
 
 def raw(s, d):
-    path = scratch(s)
+    """A raw file, written in order and read again."""
+    path = scratch(s) + ".bin"
     readers.to_file(s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice"), "p_retailprice", ["p_partkey"], path)
-    return readers.from_parts(s, path).select(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return readers.from_file(s, path).sdf.select("pos", "value")
+
+
+add("io_raw_arrays", "OP-012 OP-013", raw, "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_retailprice AS value FROM part")
+
+
+def skipped(s, d):
+    """Files with two lines of comment and a header, of which a data row repeats the text."""
+    path = scratch(s)
+    rows = s.read.parquet(f"{d}/supplier.parquet").select(F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name").alias("value"))
+    lines = rows.agg(F.sort_array(F.collect_list("value")).alias("v")).select(F.explode(F.concat(F.array(*map(F.lit, ("a comment", "k,name", "k,name", "k,name"))), F.col("v"))).alias("value"))
+    lines.coalesce(1).write.text(path)
+    return readers.read_csv(s, path, skiprows=2, dtype={"k": "str", "name": "str"}).spark()
+
 
+add("io_csv_skiprows", "OP-003", skipped, "SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name AS name FROM supplier UNION ALL SELECT 'k', 'name'")
 
-add("io_raw_arrays", "OP-012 OP-013", raw, "SELECT count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part")
-add("io_images", "OP-016", lambda s, d: s.read.format("binaryFile").load(f"{d}/region.parquet").select((F.length("content") > 0).alias("found")), "SELECT true AS found")
+
+def small_images(s, d):
+    """An image for each region, written as PNG, decoded and halved; a row for each pixel."""
+    path = scratch(s)
+    for r in s.read.parquet(f"{d}/region.parquet").select("r_regionkey").collect():
+        pixels = np.add.outer(3 * np.arange(16), np.arange(12)) + 20 * r["r_regionkey"]
+        readers.write_bytes(s, f"{path}/{r['r_regionkey']}.png", [images.encode_png(pixels)])
+    halved = images.read_images(s, path, (8, 6)).withColumn("region", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))
+    place = F.expr("explode(sequence(0, height * width - 1))").alias("i")
+    return halved.select("region", "height", "width", "pixels", place).select("region", F.expr("i div width").alias("y"), F.expr("i % width").cast("long").alias("x"), F.conv(F.hex(F.expr("substring(pixels, i + 1, 1)")), 16, 10).cast("long").alias("v"))
+
+
+add("io_images", "OP-016", small_images, "SELECT CAST(r_regionkey AS BIGINT) AS region, y, x, 20 * r_regionkey + 6 * y + 2 * x + 2 AS v FROM region, range(8) a(y), range(6) b(x)")
 
 # streams: a superset; the same expressions over batches are checked by SQL, tests run them as streams
 add("stream_tumbling", "§2.9 superset", lambda s, d: streams.windowed(load(s, d, "events").sdf, "ts", "1 hour", by=["event_type"], n=F.count("*")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -126,4 +153,14 @@ def kmeans(s, d, k=3, rounds=5):
     return s.createDataFrame([(i, round(c, 6)) for i, c in enumerate(centres)], "cluster long, centre double")
 
 
-add("ml_kmeans", "L40", kmeans)
+def kmeans_sql(k=3, rounds=5):
+    nearest = "list_position(list_transform([{}], lambda c: abs(x - c)), list_min(list_transform([{}], lambda c: abs(x - c))))"
+    centres = ", ".join(f"c{i}" for i in range(k))
+    steps = ["e AS (SELECT value AS x FROM events WHERE value IS NOT NULL)", "r0 AS (SELECT " + ", ".join(f"min(x) + (max(x) - min(x)) * {(i + 0.5) / k!r}::DOUBLE AS c{i}" for i in range(k)) + " FROM e)"]
+    for j in range(rounds):
+        means = ", ".join(f"coalesce(avg(x) FILTER (i = {i + 1}), any_value(c{i})) AS c{i}" for i in range(k))
+        steps.append(f"r{j + 1} AS (SELECT {means} FROM (SELECT x, {centres}, {nearest.format(centres, centres)} AS i FROM e, r{j}))")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {i} AS cluster, round(c{i}, 6) AS centre FROM r{rounds}" for i in range(k))
+
+
+add("ml_kmeans", "L40", kmeans, kmeans_sql())

@@ -88,3 +88,6 @@ def signal(s, d):
 
 
 add("flagship_signal", "L39", signal, "SELECT event_type, round(avg(change), 4) AS change, round(avg(mean), 4) AS mean FROM (SELECT *, lag(value < mean - spread * 0.5) " + U + " AS signal FROM (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean, stddev_samp(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 89 PRECEDING AND CURRENT ROW) AS spread, value / nullif(lag(value) " + U + ", 0) - 1 AS change FROM events)) WHERE signal GROUP BY event_type")
+
+add("roll_time_global", "L14", lambda s, d: rounded(events(s, d, ())[["v", "ts"]].rolling("2h", on="ts").sum().spark(), 4), f"SELECT event_id, CASE WHEN count(v) {{o}} >= 1 THEN round(sum(v) {{o}}, 4) END AS v FROM {E}".format(o="OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW)"))
+add("seq_pct_change_bfill_global", "OP-154", lambda s, d: rounded(events(s, d, ())[["v"]].pct_change(fill_method="bfill").spark(), 4), f"SELECT event_id, round(f / lag(f) OVER (ORDER BY event_id) - 1, 4) AS v FROM (SELECT event_id, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM {E})")

@@ -35,19 +35,14 @@ def read_csv(
 
     With ``names`` there is no header. Types come from ``dtype`` (a dictionary, complete or not); for columns without, from a sample of the rows.
     A converter is a function from Column to Column (the text), or (function, type) for a Python function. ``skiprows`` drops that many lines
-    at the start of each file. Empty cells are missing. A dtype of ("category", [values]) gives codes.
+    at the start of each file (quoted cells then hold no line ends). Empty cells are missing. A dtype of ("category", [values]) gives codes.
     """
     dtype, converters, sep = dict(dtype or {}), converters or {}, delimiter or sep
     reader = spark.read.option("sep", sep).option("header", names is None and not skiprows).option("nullValue", "")
     source = path
     if skiprows:
-        numbered = spark.read.text(path, wholetext=True).select(F.expr(f"slice(split(value, '\\r?\\n'), {skiprows + 1}, 2147483647)").alias("lines"))
-        lines = numbered.select(F.explode("lines").alias("line")).where("line <> ''")
-        if names is None:
-            head = lines.first()[0]
-            names_found, source = head.split(sep), lines.where(F.col("line") != head)
-        else:
-            names_found, source = names, lines
+        lines, head = _lines_after(spark, path, skiprows, names is None)
+        names_found, source = names or head.split(sep), lines
     else:
         names_found = names or reader.csv(path, enforceSchema=False).columns
 
@@ -82,6 +77,20 @@ def read_csv(
     return Frame(nan_to_null(df))
 
 
+def _lines_after(spark: SparkSession, path: str, skip: int, header: bool) -> tuple[DataFrame, str | None]:
+    """The lines (``line``) of each file after the first ``skip`` and, if there is one, the header, which is also returned.
+
+    Files are split as ever. A line's number is known where it matters, in the split that begins its file: numbers within
+    a task, less the file's first.
+    """
+    text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    first = text.where("start = 0").groupBy("file").agg(F.min("id").alias("first"))
+    numbered = text.join(first, "file", "left").withColumn("number", F.when(F.col("start") == 0, F.col("id") - F.col("first")))
+    lines = numbered.where((F.col("number").isNull() | (F.col("number") >= skip + int(header))) & (F.col("line") != "")).select("line")
+    found = numbered.where(F.col("number") == skip).orderBy("file").first() if header else None
+    return lines, found["line"] if found else "" if header else None
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, **keys) -> Frame:
     df = spark.read.parquet(path)
     return Frame.of(df.select(*columns) if columns else df, **keys)
@@ -134,31 +143,32 @@ def from_file(spark: SparkSession, path: str, kind: str = "float64") -> Frame:
 
 
 def to_file(values: DataFrame, column: str, order: list[str], path: str, kind: str = "float64") -> None:
-    """A column's values in order, as rows of raw bytes, so that any store will do; ``from_parts`` reads them again."""
-    dtype = np.dtype(kind)
+    """A column's values in order, as one raw file without header in any store of Spark's; ``from_file`` reads it again.
+
+    One file has one writer: the driver, which gets the sorted values batch by batch.
+    """
+    dtype, spark = np.dtype(kind), values.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy(zero_copy_only=False).astype(dtype).tobytes()])], ["bytes"])
 
-    ranged = values.orderBy(*order).select(column)
-    ranged.mapInArrow(run, "bytes binary").write.mode("overwrite").parquet(path)
-
-
-def from_parts(spark: SparkSession, path: str, kind: str = "float64") -> DataFrame:
-    """The values that ``to_file`` wrote."""
-    dtype = np.dtype(kind)
+    write_bytes(spark, path, (bytes(r["bytes"]) for r in values.orderBy(*order).select(column).mapInArrow(run, "bytes binary").toLocalIterator()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(content, dtype))], ["value"])
 
-    return spark.read.parquet(path).mapInArrow(run, f"value {spark_type(dtype.name)}")
+def write_bytes(spark: SparkSession, path: str, parts: Iterator[bytes]) -> None:
+    """One file of bytes, by Spark's file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for part in parts:
+            stream.write(bytearray(part))
+    finally:
+        stream.close()
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Path and bytes of image files; decoding needs a library of the user's choice, as a Python function."""
+def read_image_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path and bytes of image files; ``images.read_images`` decodes PNG, other formats need a Python function of the user's."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,bmp}").load(path).select("path", "content")
 
 

@@ -192,3 +192,45 @@ def test_correlation_without_spread(spark):
     f = readers.from_dict(spark, {"a": [1.0, 1.0, 1.0, 2.0], "b": [1.0, 2.0, 3.0, 5.0]}, schema="a double, b double")
     assert known(values(f.rolling(3, 2)["a"].corr("b")["a"]))[:3] == [None, None, None]
     assert f["a"].corr(f["a"] * 0).first()[0] is None and f["a"].corr(f["a"]).first()[0] == pytest.approx(1)
+
+
+def test_png_filters_and_sizes():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from framekit.sources import images
+
+    r = np.random.default_rng(0)
+    for channels in (1, 2, 3, 4):
+        a = r.integers(0, 256, (7, 5, channels)).astype(np.uint8)
+        assert (images.decode_png(images.encode_png(a)) == a).all()
+        above, lines = np.zeros(5 * channels, int), b""
+        for kind, line in enumerate(a.reshape(7, -1).astype(int)):  # one line by each filter
+            kind %= 5
+            left, corner = (np.concatenate([np.zeros(channels, int), x[:-channels]]) for x in (line, above))
+            nearest = [min((abs(u - c), 0, x), (abs(x - c), 1, u), (abs(x + u - 2 * c), 2, c))[2] for x, u, c in zip(left, above, corner, strict=True)]
+            guess = [0, left, above, (left + above) // 2, np.array(nearest)][kind]
+            lines += bytes([kind]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+            above = line
+        whole = images.encode_png(a)
+        at = whole.index(b"IDAT") - 4
+        n = struct.unpack_from(">I", whole, at)[0]
+        data = zlib.compress(lines)
+        assert (images.decode_png(whole[:at] + struct.pack(">I", len(data)) + b"IDAT" + data + b"\0\0\0\0" + whole[at + 12 + n :]) == a).all()
+        assert (images.resize(a, 7, 5) == a).all()
+    flat = np.full((3, 4, 1), 9, np.uint8)
+    assert (images.resize(flat, 10, 2) == 9).all()
+
+
+def test_skipped_rows_of_split_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("# made by\n\na,b\n" + "".join(f"{k},{i}\n" for i in range(400)) + "a,b\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = [(x["a"], x["b"]) for x in readers.read_csv(spark, str(tmp_path), skiprows=2, dtype={"a": "str", "b": "str"}).spark().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows) == sorted([(str(k), str(i)) for k in range(3) for i in range(400)] + [("a", "b")] * 3)
