@@ -13,7 +13,7 @@ hundred starts. Only cells of the same hash can share a string:
   by Larsson-Sadakane refinement and their common prefixes by Kasai's method; neighbours with a common prefix of LENGTH
   are repeats.
 
-A hash's cells are dealt over so many shards that each has ``SPLIT`` of them at most. Where that is more than one, shards write
+A hash's cells are dealt over so many shards that each has some ``SPLIT`` of them, about a shard's bytes. Where that is more than one, shards write
 the digests of their different strings as sorted runs, the runs are dealt by ranges of digests, and each string is looked up in the other
 shards' runs by binary search. Texts and strings are known by SHA-256 and BLAKE2b, cells within a hash by 128 bits of the latter: texts from the web can be
 made to collide in weaker ones.
@@ -30,13 +30,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, cut, partitions, slices
 from .suffix import common_prefixes, eight_bytes, suffix_array
 
-LENGTH, GRAM, SHARD_BYTES, SPLIT, MERGE_ROWS = 400, 128, 1 << 20, 64, 200_000
+LENGTH, GRAM, SHARD_BYTES, SPLIT, MERGE_ROWS = 400, 128, 1 << 20, 1024, 200_000
 CHUNK, SEGMENT, PLACE_BITS = 1 << 18, 1 << 19, 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -167,8 +168,10 @@ def shard_repeats(spans: list[bytes], counts: np.ndarray, weights: np.ndarray, l
     return span, offset, total[own] > 1.5, own
 
 
-def _shard_task(length: int):
-    schema = "digest binary, at int, n int, string binary, shard long"
+def _shard_task(length: int, pieces: int):
+    """A shard's repeats, as one row of piece -1, and its sorted run of strings, as a row for each range of digests (piece)."""
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+    schema = "shard long, piece int, texts array<binary>, at array<int>, n array<int>, strings array<binary>"
 
     def run(t: pa.Table) -> pa.Table:
         spans = t["span"].to_pylist()
@@ -179,17 +182,19 @@ def _shard_task(length: int):
         head = marked & ~(np.concatenate([[False], marked[:-1]]) & (offset > 0))
         tail = marked & ~(np.concatenate([marked[1:], [False]]) & np.concatenate([offset[1:] > 0, [False]]))
         a, z = np.flatnonzero(head), np.flatnonzero(tail)
-        out = [(digest.take(pa.array(span[a])), at[span[a]] + offset[a], z - a + 1, [None] * len(a), np.full(len(a), -1))]
+        texts, shard = np.array(digest.to_pylist(), object), t["shard"][0].as_py()
+        out = [(shard, -1, texts[span[a]].tolist(), (at[span[a]] + offset[a]).tolist(), (z - a + 1).tolist(), [])]
         if split.any():
             of_split = np.flatnonzero(split[span])
             _, once = np.unique(own[of_split], return_index=True)
             pick = of_split[once]
             strings = sorted((blake2b(memoryview(spans[s])[o : o + length], digest_size=32).digest(), i) for i, s, o in zip(pick.tolist(), span[pick].tolist(), offset[pick].tolist(), strict=True))
-            pick = np.array([i for _, i in strings], np.int64)
-            out.append((digest.take(pa.array(span[pick])), at[span[pick]] + offset[pick], np.where(repeated[pick], 0, 1), [d for d, _ in strings], np.full(len(pick), t["shard"][0].as_py())))
-        names = [c.split()[0] for c in schema.split(", ")]
-        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-        return pa.concat_tables([pa.table([p[0].combine_chunks().cast(kinds[0]), *[pa.array(c, k) if isinstance(c, list) else pa.array(c).cast(k) for c, k in zip(p[1:], kinds[1:], strict=True)]], names) for p in out])
+            piece = np.array([int.from_bytes(d[:4]) * pieces >> 32 for d, _ in strings])
+            for p in np.unique(piece).tolist():
+                low, high = np.searchsorted(piece, p, "left"), np.searchsorted(piece, p, "right")
+                i = np.array([i for _, i in strings[low:high]])
+                out.append((shard, p, texts[span[i]].tolist(), (at[span[i]] + offset[i]).tolist(), np.where(repeated[i], 0, 1).tolist(), [d for d, _ in strings[low:high]]))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     return run, schema
 
@@ -206,8 +211,11 @@ def merge_runs(strings: np.ndarray, shard: np.ndarray) -> np.ndarray:
 
 
 def _merge_task(t: pa.Table) -> pa.Table:
-    found = merge_runs(np.array(t["string"].to_pylist(), "S32"), t["shard"].to_numpy()) & (t["n"].to_numpy() > 0)
-    return t.select(["digest", "at", "n"]).filter(pa.array(found))
+    """Of the runs of one range: digest of the text, at and n of the strings that other shards have too."""
+    flat = {c: pc.list_flatten(t[c]).combine_chunks() for c in ("texts", "at", "n", "strings")}
+    shard = np.repeat(t["shard"].to_numpy(), pc.list_value_length(t["strings"]).to_numpy())
+    found = merge_runs(np.array(flat["strings"].to_pylist(), "S32"), shard) & (flat["n"].to_numpy() > 0)
+    return pa.table({"digest": flat["texts"], "at": flat["at"], "n": flat["n"]}).filter(pa.array(found))
 
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -216,19 +224,18 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sp
     marked = cut(_classified(_all_cells(texts, length, gram)), "cells")
     by_cell = marked.where("weight > 1 and copies = 1").select("digest", "at", "n")
     differing = marked.where("first and look")
-    size = differing.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
     ways = F.ceil(F.col("kinds") / split)  # shards of a hash
+    size, starts = differing.agg(F.sum(F.col("n") + (length - 1)), F.sum(F.when(ways > 1, F.col("n")))).first()
+    shards, pieces = max(1, math.ceil((size or 0) / shard_bytes)), max(1, math.ceil((starts or 0) / MERGE_ROWS))
     salt = F.pmod(F.xxhash64("digest", "at"), ways)
     listed = differing.withColumn("shard", F.pmod(F.xxhash64("hash", salt), F.lit(shards))).groupBy("digest").agg(F.collect_list(F.struct("at", "n", "weight", (ways > 1).alias("split"), "shard")).alias("cells"))
     span = F.transform("cells", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), c["weight"].alias("weight"), c["split"].alias("split"), c["shard"].alias("shard"), F.substring("bytes", c["at"] + 1, c["n"] + (length - 1)).alias("span")))
     spans = texts.join(listed, "digest").select("digest", F.explode(span).alias("x")).select("digest", "x.*")
-    run, schema = _shard_task(length)
+    run, schema = _shard_task(length, pieces)
     found = cut(spans.groupBy("shard").applyInArrow(run, schema), "shards")
-    strings = found.where("shard >= 0")
-    pieces = max(1, math.ceil(strings.count() / MERGE_ROWS))
-    across = strings.withColumn("piece", F.floor(F.conv(F.hex(F.substring("string", 1, 4)), 16, 10).cast("long") * pieces / (1 << 32))).groupBy("piece").applyInArrow(_merge_task, "digest binary, at int, n int")
-    parts = [whole, by_cell, found.where("shard < 0").select("digest", "at", "n"), across]
+    inside = found.where("piece < 0").select(F.explode(F.arrays_zip("texts", "at", "n")).alias("x")).select(F.col("x.texts").alias("digest"), "x.at", "x.n")
+    across = found.where("piece >= 0").groupBy("piece").applyInArrow(_merge_task, "digest binary, at int, n int")
+    parts = [whole, by_cell, inside, across]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
