@@ -585,10 +585,16 @@ class Series:
     def reduce(self, name: str, alias: str | None = None, **options) -> DataFrame:
         from .operators.reduce import reduction
 
+        if name == "median":
+            return self.quantile(0.5, alias or name, **options)
         return self.frame.sdf.agg(reduction(name, self.expr, **options).alias(alias or name))
 
-    def quantile(self, q: float | list[float] = 0.5, alias: str = "quantile") -> DataFrame:
-        return self.frame.sdf.agg(F.percentile(self.expr, q if isinstance(q, float) else F.array(*map(F.lit, q))).alias(alias))
+    def quantile(self, q: float | list[float] = 0.5, alias: str = "quantile", skipna: bool = True) -> DataFrame:
+        from .operators.reduce import quantiles
+
+        many = isinstance(q, list)
+        found = quantiles(self.frame.sdf, {alias: self.expr}, q if many else [q], skipna)
+        return found if many else found.select(F.col(f"`{alias}`")[0].alias(alias))
 
     def cov(self, other: Series, min_periods: int = 2, alias: str = "cov") -> DataFrame:
         from .operators.reduce import pairwise

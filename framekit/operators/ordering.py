@@ -15,19 +15,20 @@ from ..pinning import pin
 POS, BUCKET_ROWS = "__pos", 65536
 
 
-def _ranged(sdf: DataFrame, order: list[str]) -> DataFrame:
+def ranged(sdf: DataFrame, order: list[str]) -> DataFrame:
+    """``sdf``, written, with the number of the range of the order that a row lies in, in ``__part``."""
     n = int(sdf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pin(sdf.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
 
 
 def scan(sdf: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """``sdf`` with, for each name, the running sum (this row included) of an expression over the order; missing counts 0."""
-    ranged = _ranged(sdf, order)
-    totals = ranged.groupBy("__part").agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(f"__t_{n}") for n, e in sums.items()])
+    dealt = ranged(sdf, order)
+    totals = dealt.groupBy("__part").agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(f"__t_{n}") for n, e in sums.items()])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = totals.select("__part", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), "__part")
+    out = dealt.join(F.broadcast(offsets), "__part")
     out = out.withColumns({n: F.coalesce(F.sum(e).over(inside), F.lit(0)) + F.col(f"__o_{n}") for n, e in sums.items()})
     return out.drop("__part", *[f"__o_{n}" for n in sums])
 
@@ -39,13 +40,13 @@ def positions(sdf: DataFrame, order: list[str]) -> DataFrame:
 
 def carry(sdf: DataFrame, order: list[str], column: str, name: str, back: bool = False) -> DataFrame:
     """``sdf`` with the last known value of ``column`` up to each row, over the whole order; with ``back`` the next known from each row on."""
-    ranged, known = _ranged(sdf, order), F.when(F.col(column).isNotNull(), F.struct(*order))
+    dealt, known = ranged(sdf, order), F.when(F.col(column).isNotNull(), F.struct(*order))
     pick, nearest = (F.min_by, F.first) if back else (F.max_by, F.last)
     others, inside = ((1, Window.unboundedFollowing), (0, Window.unboundedFollowing)) if back else ((Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0))
-    ends = ranged.groupBy("__part").agg(pick(F.when(F.col(column).isNotNull(), F.col(column)), known).alias("__end"))
+    ends = dealt.groupBy("__part").agg(pick(F.when(F.col(column).isNotNull(), F.col(column)), known).alias("__end"))
     ends = ends.select("__part", nearest("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(*others)).alias("__beyond"))
     own = nearest(column, ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(*inside))
-    return ranged.join(F.broadcast(ends), "__part").withColumn(name, F.coalesce(own, "__beyond")).drop("__part", "__beyond")
+    return dealt.join(F.broadcast(ends), "__part").withColumn(name, F.coalesce(own, "__beyond")).drop("__part", "__beyond")
 
 
 def with_halo(sdf: DataFrame, order: list[str], back: int, ahead: int = 0, rows: int = BUCKET_ROWS) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranged
+
 if TYPE_CHECKING:
     from ..frame import Frame, Series
 
@@ -59,8 +61,40 @@ def reduction(name: str, c: Column, skipna: bool = True, ddof: int = 1, dropna:
     return out
 
 
+def quantiles(sdf: DataFrame, values: dict[str, Column], points: list[float], skipna: bool = True) -> DataFrame:
+    """One row: for each name the array of exact quantiles of its values, interpolated; NULL where nothing is known.
+
+    Values are counted and dealt by ranges; a range that holds a wanted rank, and no other, gets a running sum of its counts.
+    Missing values are skipped; without ``skipna`` one of them makes the result NULL.
+    """
+    if any(not 0 <= q <= 1 for q in points):
+        raise ValueError("quantiles lie between 0 and 1")
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in values.items()])
+    counted = sdf.select(F.explode(pairs).alias("x")).select("x.*").groupBy("name", "value").agg(F.count("*").alias("n"))
+    dealt = ranged(counted, ["name", "value"])
+    known = F.col("value").isNotNull()
+    sums = dealt.groupBy("name", "__part").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(a) for c, a in ((known, "here"), (~known, "missing"))])
+    of_name = Window.partitionBy("name")  # one row for each range
+    before = F.coalesce(F.sum("here").over(of_name.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("name", "__part", "here", before.alias("before"), F.sum("here").over(of_name).alias("all"), F.sum("missing").over(of_name).alias("missing"))
+    places = sums.where("all > 0" if skipna else "all > 0 and missing = 0").select("*", F.posexplode(F.array(*[F.lit(float(q)) for q in points])).alias("i", "q")).withColumn("place", (F.col("all") - 1) * F.col("q"))
+    # a rank between two values weighs them by how near they are
+    ranks = F.array(F.struct(F.floor("place").alias("rank"), (F.floor("place") + 1 - F.col("place")).alias("weight")), F.struct(F.ceil("place").alias("rank"), (F.col("place") - F.floor("place")).alias("weight")))
+    wanted = places.select("name", "__part", "i", "here", "before", F.explode(ranks).alias("r")).where("r.rank >= before and r.rank < before + here").select("name", "__part", "i", (F.col("r.rank") - F.col("before")).alias("rank"), "r.weight")
+    held = dealt.where(known).join(F.broadcast(wanted.select("name", "__part").distinct()), ["name", "__part"], "left_semi")
+    upto = F.sum("n").over(Window.partitionBy("name", "__part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    hits = held.withColumn("upto", upto).join(F.broadcast(wanted), ["name", "__part"]).where("rank < upto and rank >= upto - n")
+    between = F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(F.sum(F.col("value") * F.col("weight")))
+    found = hits.where("weight > 0").groupBy("name", "i").agg(between.alias("q"))
+    pick = lambda n, i: F.max(F.when((F.col("name") == n) & (F.col("i") == i), F.col("q")))
+    return found.agg(*[F.when(F.count(F.when(F.col("name") == n, 1)) > 0, F.array(*[pick(n, i) for i in range(len(points))])).alias(n) for n in values])
+
+
 def frame_reduce(frame: Frame, name: str, **options) -> DataFrame:
     """A row for each data column: column, value. All columns in one pass."""
+    if name == "median":
+        row = quantiles(frame.sdf, {c: F.col(f"`{c}`") for c in frame.columns}, [0.5], options.get("skipna", True))
+        return row.select(*[F.col(f"`{c}`")[0].alias(c) for c in frame.columns]).unpivot([], [F.col(f"`{c}`") for c in frame.columns], "column", "value")
     row = frame.sdf.agg(*[reduction(name, F.col(f"`{c}`"), **options).cast("double" if name != "count" else "long").alias(c) for c in frame.columns])
     return row.unpivot([], [F.col(f"`{c}`") for c in frame.columns], "column", "value")
 
@@ -117,9 +151,12 @@ def describe(frame: Frame, percentiles: list[float] | None = None) -> DataFrame:
         return out
     names = ["count", "mean", "std", "min", *[f"{100 * p:g}%" for p in points], "max"]
     numbers = [c for c in frame.columns if c not in text]
-    stats = []
-    for c in numbers:
-        col = F.col(f"`{c}`").cast("double")
-        stats.append(F.array(F.count(col).cast("double"), F.avg(col), F.stddev_samp(col), F.min(col), *[F.percentile(col, p) for p in points], F.max(col)).alias(c))
-    row = frame.sdf.agg(*stats)
-    return row.withColumn("stat", F.array(*map(F.lit, names))).select(F.explode(F.arrays_zip("stat", *numbers)).alias("x")).select("x.*")
+    cols = {c: F.col(f"`{c}`").cast("double") for c in numbers}
+    stats = frame.sdf.agg(*[F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)).alias(f"__s{i}") for i, c in enumerate(cols.values())])
+    inner = quantiles(frame.sdf, cols, points).toDF(*[f"__q{i}" for i in range(len(numbers))])
+    # two rows of one line each become one
+    both = stats.unionByName(inner, allowMissingColumns=True)
+    row = both.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in both.columns])
+    none = F.array(*[F.lit(None).cast("double")] * len(points))
+    row = row.select(*[F.concat(F.slice(f"__s{i}", 1, 4), F.coalesce(f"__q{i}", none), F.slice(f"__s{i}", 5, 1)).alias(c) for i, c in enumerate(numbers)])
+    return row.withColumn("stat", F.array(*map(F.lit, names))).select(F.explode(F.arrays_zip("stat", *[F.col(f"`{c}`") for c in numbers])).alias("x")).select("x.*")

@@ -234,3 +234,26 @@ def test_skipped_rows_of_split_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(rows) == sorted([(str(k), str(i)) for k in range(3) for i in range(400)] + [("a", "b")] * 3)
+
+
+@pytest.mark.parametrize("rows", [[3.0, None, 1.0, 1.0, 7.5, -2.0, 1.0], [float(x % 97) for x in range(1000)], [x * x / 7 for x in range(501)], [4.0], [1.0] * 50 + [2.0] * 50])
+def test_quantiles_over_ranges(spark, rows):
+    f = Frame(spark.createDataFrame([(x, None if x is None else -2 * x) for x in rows], "a double, b double"), ["a", "b"])
+    want = pd.DataFrame({"a": rows, "b": [None if x is None else -2 * x for x in rows]}, dtype=float)
+    points = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    assert f["a"].quantile(points).first()[0] == pytest.approx(want["a"].quantile(points).tolist())
+    assert {r["column"]: r["value"] for r in f.median().collect()} == pytest.approx(want.median().to_dict())
+    got = f.describe([0.1]).toPandas().set_index("stat")
+    assert np.allclose(got, want.describe(percentiles=[0.1, 0.5]).loc[got.index], equal_nan=True)
+
+
+def test_quantiles_of_nothing(spark):
+    f = Frame(spark.createDataFrame([(None,), (None,)], "a double"), ["a"])
+    assert f["a"].median().first()[0] is None and f["a"].quantile([0.1, 0.2]).first()[0] is None
+    got = f.describe().toPandas().set_index("stat")["a"]
+    assert got["count"] == 0 and got.drop("count").isna().all()
+    some = Frame(spark.createDataFrame([(1.0,), (None,)], "a double"), ["a"])
+    assert some["a"].reduce("median", skipna=False).first()[0] is None and some["a"].median().first()[0] == 1
+    assert Frame(spark.createDataFrame([], "a double"), ["a"])["a"].median().first()[0] is None
+    with pytest.raises(ValueError):
+        some["a"].quantile(1.5)
