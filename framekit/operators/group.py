@@ -65,12 +65,19 @@ for _name in ("count", "sum", "mean", "median", "min", "max", "prod", "std", "va
     setattr(GroupBy, _name, (lambda n: lambda self, **options: self.reduce(n, **options))(_name))
 
 
+MAX_NAMES = 10_000
+
+
 def pivot_table(frame: Frame, index: str | list[str], columns: str, values: str, aggfunc: str = "mean", names: list | None = None) -> Frame:
-    """A row for each index value, a column for each name. Without ``names`` a first job finds them."""
+    """A row for each index value, a column for each name. Without ``names`` a first job finds them; over ``MAX_NAMES`` are an error."""
     from ..frame import Frame
 
     keys = [index] if isinstance(index, str) else list(index)
-    names = names if names is not None else [r[0] for r in frame.sdf.select(columns).where(F.col(columns).isNotNull()).distinct().orderBy(columns).collect()]
+    if names is None:
+        found = frame.sdf.select(columns).where(F.col(columns).isNotNull()).distinct()
+        names = sorted(r[0] for r in found.limit(MAX_NAMES + 1).collect())
+        if len(names) > MAX_NAMES:
+            raise ValueError(f"{columns} has more than {MAX_NAMES} values to make columns of")
     out = frame.sdf.groupBy(*keys).pivot(columns, names).agg(reduction(aggfunc, F.col(values)))
     return Frame(out, [str(n) for n in names], index=keys, order=keys)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framekit.frame import Frame
 from framekit.functions import strings as S
+from framekit.operators import group
 from framekit.operators.group import pivot_table
 from framekit.operators.joins import merge_asof
 from framekit.operators.ordering import with_halo
@@ -257,3 +258,11 @@ def test_quantiles_of_nothing(spark):
     assert Frame(spark.createDataFrame([], "a double"), ["a"])["a"].median().first()[0] is None
     with pytest.raises(ValueError):
         some["a"].quantile(1.5)
+
+
+def test_pivot_of_too_many_names(spark, monkeypatch):
+    f = Frame(spark.createDataFrame([(1, c, 1.0) for c in "dcba"], "k long, c string, v double"), ["k", "c", "v"])
+    assert pivot_table(f, "k", "c", "v").columns == ["a", "b", "c", "d"]
+    monkeypatch.setattr(group, "MAX_NAMES", 3)
+    with pytest.raises(ValueError):
+        pivot_table(f, "k", "c", "v")
