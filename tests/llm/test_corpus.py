@@ -102,6 +102,39 @@ def test_hosts_without_articles(spark, shard_pages):
     assert all(line not in got[200 + i] and got[200 + i].endswith(f"more {i}") for i in range(8))
 
 
+@pytest.mark.parametrize("shard_pages", [1024, 4])
+def test_repeats_go_to_their_last_token(spark, shard_pages):
+    """Passages of any length at either end of blocks, counted wherever they lie: what is left are the words around them."""
+    r = random.Random(7)
+    notes = [sentence(r, n) for n in (12, 13, 25, 60)]
+    rows, want = [], {}
+    for i in range(24):
+        a, b, c, note = sentence(r, 30), sentence(r, 30), sentence(r, 30), notes[i % 4]
+        # the second note of some pages lies in the middle of a block and stays, but counts
+        parts, left = ([f"{note} {a}", f"{b} {note}", c], [a, b, c]) if i < 8 else ([f"{a} {note} {b}", c], [f"{a} {note} {b}", c])
+        rows.append((i, f"http://h.example/{i}", "".join(f"<div>{p}</div>" for p in parts)))
+        want[i] = "\n".join(left)
+    got = {x["page_id"]: x["text"] for x in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_pages=shard_pages).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_strings_from_every_token(seed):
+    r = random.Random(seed)
+    pages = [[" ".join(r.choice("abé") for _ in range(r.randint(1, 30))) for _ in range(r.randint(0, 4))] for _ in range(12)]
+    s = ht.Strings([x for p in pages for x in p], 6)
+    seen = collections.defaultdict(set)
+    for i, p in enumerate(pages):
+        for words in map(str.split, p):
+            for a in range(max(1, len(words) - 5)):
+                seen[tuple(words[a : a + 6])].add(i)
+    for least in (1, 3):
+        digest, n = s.counts(np.repeat(np.arange(len(pages)), [len(p) for p in pages]), least)
+        assert sorted(n.tolist()) == sorted(len(x) for x in seen.values() if len(x) >= least) and len(set(digest.tolist())) == len(digest)
+    d = np.sort(s.digest)
+    assert (ht._unpacked(ht._packed(d)) == d).all()
+
+
 def test_copies_of_articles_stay_whole(spark):
     r = random.Random(2)
     text = [sentence(r, 30) for _ in range(6)]
