@@ -17,6 +17,7 @@ so equal splits of equal rows give equal packings.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -43,9 +44,15 @@ OBJECTS = 170
 _STOP = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:;=?@\[-`{}~]+)", re.DOTALL)
 #: A word of lower-case letters that normal forms and letter case leave alone, which is one piece.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The same with capitals, which become lower case.
+_CAPITAL = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Byte-level vocabularies write bytes that don't print as the characters from 256 on.
 _UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_UNPRINTED)}
+_BYTE_LEVEL = "".join(chr(256 + _UNPRINTED.index(b) if b in _UNPRINTED else b) for b in range(256))
+#: Kinds of bytes: letters and digits a, stops and commas ., other signs !, blanks and line feeds " ", other white space t, bytes of further letters h, and X where such bytes may be of signs.
+_KINDS = "".join(" " if c in " \n" else "t" if c in "\t\r\x0b\x0c" else "." if c in ".," else "a" if c.isalnum() else "!" for c in map(chr, range(128))).encode()
+_KINDS += bytes(ord("h") if (0x80 <= b < 0xC0 and b not in (0x97, 0xB7)) or b == 0xC3 else ord("X") for b in range(128, 256))
+_FORMATS = [f"<{n}I" for n in range(64)]
 
 
 class Words(dict):
@@ -56,15 +63,17 @@ class Words(dict):
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.size = tokenizer, tokenizer.model, 0
+        self.tokenizer, self.tokenize, self.size = tokenizer, tokenizer.model.tokenize, 0
 
     def __missing__(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():
-            ids = self.packed([t.id for t in self.model.tokenize(word.decode())])
+            ids = self.packed([t.id for t in self.tokenize(word.decode())])
+        elif _PLAIN.fullmatch(word):
+            ids = self.packed([t.id for t in self.tokenize(codecs.charmap_decode(word, "strict", _BYTE_LEVEL)[0])])
         elif found := _STOP.fullmatch(word):
             ids = self[found[1]] + self[found[2]]
-        elif _PLAIN.fullmatch(word):
-            ids = self.packed([t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_LEVEL))])
+        elif _CAPITAL.fullmatch(word):
+            ids = self[word.decode().lower().encode()]
         else:
             ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         self[word] = ids
@@ -73,25 +82,46 @@ class Words(dict):
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else f"<{len(ids)}I", *ids)
 
     def keep_within(self, room: int) -> None:
         if self.size > room:
-            kept, self.size = [], 0
-            for word, ids in sorted(self.items(), key=lambda x: len(x[0])):
-                self.size += OBJECTS + len(word) + len(ids)
-                if 2 * self.size > room:
+            by: dict[int, int] = {}
+            for word, ids in self.items():
+                n = len(word)
+                by[n] = by.get(n, 0) + OBJECTS + n + len(ids)
+            self.size, last = 0, 0
+            for last in sorted(by):  # of this length some go
+                if 2 * (self.size + by[last]) > room:
                     break
-                kept.append((word, ids))
+                self.size += by[last]
+            kept = {word: ids for word, ids in self.items() if len(word) < last}
+            for word, ids in self.items():
+                if len(word) == last:
+                    if 2 * (self.size + OBJECTS + last + len(ids)) > room:
+                        break
+                    self.size += OBJECTS + last + len(ids)
+                    kept[word] = ids
             self.clear()
             self.update(kept)
 
 
+def stops_apart(text: bytes) -> bytes:
+    """A text with blanks before stops and commas that are a piece of their own: after a letter or digit, before a blank or line feed.
+
+    Where one follows another sign, or in doubt, all stay, and words that end in signs are taken apart when they are met.
+    """
+    kinds = text.translate(_KINDS)
+    if b"!. " in kinds or b".. " in kinds or b"X. " in kinds or b"h. " in kinds and b"X" in kinds:
+        return text
+    return text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
+
+
 def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Iterator[bytes]]:
     """Texts to ids by a tokenizer that lower-cases and never joins what white space separates.
 
     Ids are looked up by word, in a cache of this process. So that words meet more often, A-Z become lower case (not in texts with
-    combining marks or special tokens, where the order of steps could matter).
+    combining marks or special tokens, where the order of steps could matter), and stops are set apart.
     """
     from tokenizers import Tokenizer
 
@@ -105,7 +135,7 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[list[bytes]], Itera
     def encode(texts: list[bytes]) -> Iterator[bytes]:
         for t in texts:
             if b"\xcc" not in t and b"\xcd" not in t and b"<|" not in t:
-                t = t.lower()
+                t = stops_apart(t.lower())
             yield b"".join(map(words.__getitem__, t.split()))
             words.keep_within(cache)
 

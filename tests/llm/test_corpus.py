@@ -323,6 +323,20 @@ def test_words_alone_encode_as_in_texts():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_stops_are_set_apart():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, r = Tokenizer.from_file(path), random.Random(5)
+    parts = ["a", "T", "é", "É", ".", ",", ". ", ", ", ".\n", " ", "\n", "\t", "7", "'s", "’", "×", "÷", "»", "“", "ä", "İ", "日", "!", ")", "\x1c", "\x85", "_", "²", "\u0338", "·", "õ"]
+    texts = [". a", "word. Word, word.\nÉté, été.", "a.. b", "a!, b", "×. ÷, a. ×", *("".join(r.choice(parts) for _ in range(r.randrange(20))) for _ in range(6000))]
+    for t, got in zip(texts, pk.word_encoder(path)([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    assert pk.stops_apart("one. été, 7. 7,\nend.\n".encode()).split() == "one . été , 7 . 7, end .".encode().split()
+    for t in ("one.. two. ", "a!. b", "×. b", "” a, ”. b", "\x1c. b"):
+        assert pk.stops_apart(t.encode()) == t.encode()
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns = docs.columns
