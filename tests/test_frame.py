@@ -1,5 +1,7 @@
 """Frames against pandas on small tables, and the cases that queries don't reach."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -266,3 +268,27 @@ def test_pivot_of_too_many_names(spark, monkeypatch):
     monkeypatch.setattr(group, "MAX_NAMES", 3)
     with pytest.raises(ValueError):
         pivot_table(f, "k", "c", "v")
+
+
+@pytest.mark.parametrize("by", [[], ["u"]])
+@pytest.mark.parametrize("name", ["sum", "mean", "min", "max", "var", "std", "count"])
+def test_windows_of_time_against_pandas(spark, by, name):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": range(300), "u": rng.integers(0, 3, 300), "t": pd.Timestamp("1969-12-31 23:00") + pd.to_timedelta(np.sort(rng.integers(0, 200, 300)) * 30, unit="s"), "x": np.where(rng.random(300) < 0.2, np.nan, rng.normal(0, 9, 300))})
+    f = Frame.of(spark.createDataFrame(pdf), index=["k"], order=["k"], by=by, columns=list(pdf.columns))
+    got = getattr(f[["x", "t"]].rolling("7min", on="t"), name)().spark().toPandas().sort_values("k")["x"].to_numpy(float)
+
+    def of(row):
+        held = pdf[(pdf["t"] > row["t"] - pd.Timedelta("7min")) & (pdf["t"] <= row["t"]) & ((pdf["u"] == row["u"]) if by else True)]["x"].dropna()
+        return getattr(held, name)() if len(held) or name == "count" else np.nan
+
+    assert np.allclose(got, pdf.apply(of, axis=1).to_numpy(float), equal_nan=True)
+
+
+def test_windows_of_time_cost_no_more_where_they_hold_more(spark):
+    n = 60000  # one span holds them all: each row's window gone through anew takes some 2,000,000,000 steps
+    sdf = spark.range(n).select(F.col("id").alias("k"), F.timestamp_micros(F.col("id")).alias("t"), F.lit(1.0).alias("x"))
+    f = Frame.of(sdf, index=["k"], order=["k"], columns=["x", "t"])
+    started = time.monotonic()
+    assert f[["x", "t"]].rolling("1h", on="t").sum().spark().agg(F.sum("x")).first()[0] == n * (n + 1) / 2
+    assert time.monotonic() - started < 15
