@@ -292,3 +292,14 @@ def test_windows_of_time_cost_no_more_where_they_hold_more(spark):
     started = time.monotonic()
     assert f[["x", "t"]].rolling("1h", on="t").sum().spark().agg(F.sum("x")).first()[0] == n * (n + 1) / 2
     assert time.monotonic() - started < 15
+
+
+@pytest.mark.parametrize("by", [[], ["u"]])
+def test_backward_fill_costs_no_more_for_long_sequences(spark, by):
+    n = 150000
+    sdf = spark.range(n).select(F.col("id").alias("k"), F.lit(1).alias("u"), F.when(F.col("id") % 3 == 2, F.col("id").cast("double")).alias("x"))
+    f = Frame.of(sdf, index=["k"], order=["k"], by=by, columns=["x"])
+    started = time.monotonic()
+    got = f.pct_change(1, "bfill").spark().orderBy("k").limit(7).collect()
+    assert [r[1] for r in got] == [None, 0, 0, 1.5, 0, 0, 0.6000000000000001]
+    assert time.monotonic() - started < 30
