@@ -303,3 +303,21 @@ def test_backward_fill_costs_no_more_for_long_sequences(spark, by):
     got = f.pct_change(1, "bfill").spark().orderBy("k").limit(7).collect()
     assert [r[1] for r in got] == [None, 0, 0, 1.5, 0, 0, 0.6000000000000001]
     assert time.monotonic() - started < 30
+
+
+@pytest.mark.parametrize("window", [4, 300])
+@pytest.mark.parametrize("by", [[], ["u"]])
+def test_rolling_apply_gives_known_values_of_each_window(spark, window, by):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": range(700), "u": rng.integers(0, 2, 700), "x": np.where(rng.random(700) < 0.3, np.nan, rng.normal(0, 9, 700))})
+    f = Frame.of(spark.createDataFrame(pdf), index=["k"], order=["k"], by=by, columns=list(pdf.columns))
+    function = lambda x: float(x.iloc[-1] - x.min()) if len(x) > 2 else float("nan")
+    got = f[["x"]].rolling(window, 2).apply(function).spark().toPandas().sort_values("k")["x"].to_numpy(float)
+    parts = [g for _, g in pdf.groupby("u")] if by else [pdf]
+    want = pd.concat([pd.Series([function(g["x"].iloc[max(0, i - window + 1) : i + 1].dropna()) for i in range(len(g))], g.index) for g in parts]).sort_index()
+    assert np.allclose(got, want.to_numpy(float), equal_nan=True)
+
+
+def test_rolling_apply_leaves_out_windows_with_too_few_values(frame):
+    got = known(values(frame["C"].rolling(3, 2).apply(lambda x: x.iloc[1])["C"]))
+    assert got == [None, None, 2.0, -1.0, -1.0, 0.0, 3.5, 2.5, 1.0, 1.0, 1.0]
